@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from symloom.llm.packing import op7_packing
 from symloom.llm.token_store import op1_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op7_packing": op7_packing,
 }
 
 SQL: dict[str, str] = {}
