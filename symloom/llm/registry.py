@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from symloom.llm.ann import op10_nearest
+from symloom.llm.minhash_dedup import op5_minhash_dedup
 from symloom.llm.packing import op7_packing
 from symloom.llm.token_store import op1_token_store
 from symloom.llm.vector_dedup import op3_vector_dedup
@@ -14,6 +15,7 @@ from symloom.llm.vector_dedup import op3_vector_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_vector_dedup": op3_vector_dedup,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op7_packing": op7_packing,
     "op10_nearest": op10_nearest,
 }
