@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from symloom.llm.ann import op10_nearest
 from symloom.llm.minhash_dedup import op5_minhash_dedup
 from symloom.llm.packing import op7_packing
+from symloom.llm.secrets import SQL as SECRETS_SQL
+from symloom.llm.secrets import op8_secrets
 from symloom.llm.token_store import op1_token_store
 from symloom.llm.vector_dedup import op3_vector_dedup
 
@@ -17,7 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_vector_dedup": op3_vector_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_packing": op7_packing,
+    "op8_secrets": op8_secrets,
     "op10_nearest": op10_nearest,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_secrets": SECRETS_SQL,
+}
