@@ -173,7 +173,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, size: int = LENGTH,
     ranked by (length in units, doc_id, start) over all partitions, and dealt
     once more by sequence, of which none holds more than ``size`` pieces.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, end_id, size), _PIECES)
+    rows = common.written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, end_id, size), _PIECES), "cut")
     rows = rows.withColumn("_units", F.when(F.col("length") < size, F.ceil(F.col("length") / grain)).otherwise(size // grain + 1))
     at = common.ranked(rows, "_units", "doc_id", "start", "doc_tokens", "ids_crc32", name="pieces")
     counts = at.groupBy("_units").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("_first"))
