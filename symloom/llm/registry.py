@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from symloom.llm.ann import op10_nearest
 from symloom.llm.minhash_dedup import op5_minhash_dedup
+from symloom.llm.mixing import op2_mixing
 from symloom.llm.packing import op7_packing
 from symloom.llm.quality import op6_quality
 from symloom.llm.secrets import SQL as SECRETS_SQL
@@ -19,6 +20,7 @@ from symloom.llm.vector_dedup import op3_vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_mixing": op2_mixing,
     "op3_vector_dedup": op3_vector_dedup,
     "op4_sharding": op4_sharding,
     "op5_minhash_dedup": op5_minhash_dedup,
