@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from symloom.functions.text import file_stem, module_path
 
-_SPAN = F.col("byte_end") - F.col("byte_start")
-
 
 def containers(references: DataFrame, symbols: DataFrame) -> DataFrame:
     """ref_id, file_path, symbol_name, src: references in a symbol, with the innermost; outside any, a reference is dropped."""
@@ -25,7 +23,7 @@ def containers(references: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def local_targets(held: DataFrame, symbols: DataFrame) -> DataFrame:
     """ref_id, src, dst for names defined in the reference's own file: the container itself first, then the shortest span."""
-    s = symbols.select("file_path", F.col("name").alias("symbol_name"), F.col("id").alias("_id"), _SPAN.alias("_w"), "seq")
+    s = symbols.select("file_path", F.col("name").alias("symbol_name"), F.col("id").alias("_id"), (F.col("byte_end") - F.col("byte_start")).alias("_w"), "seq")
     order = F.struct((F.col("_id") != F.col("src")).alias("other"), "_w", "seq")
     return held.join(s, ["file_path", "symbol_name"]).groupBy("ref_id", "src").agg(F.min_by("_id", order).alias("dst"))
 
