@@ -5,10 +5,12 @@ are one item with a weight. Spherical k-means on a bounded sample gives cells;
 each item belongs to the cell of its nearest centroid. Two items with cosine of
 at least t lie within d = sqrt(2 - 2 t) of each other, so an item of cell b can
 have a partner in cell a only where <y, c_b> - <y, c_a> <= d |c_a - c_b|: there
-a copy of it visits a (for a < b), and no link is lost to the cells' borders.
-Cells are cut into blocks, each pair of blocks of a cell is one task-sized group,
-and a group returns a link count for each item and a spanning forest of its
-links, never the pairs. Components of the forest give the groups.
+a copy of it visits a (for a < b), and no link is lost to the cells' borders. The
+same holds for each other centroid in the place of c_b; the nearest few are tried.
+The items at home in a cell and its visitors are cut into blocks. Each block at
+home meets each block of the cell once, as one task-sized group; visitors don't
+meet each other. A group returns a link count for each item and a spanning forest
+of its links, never the pairs. Components of the forest give the groups.
 
 Defined cases: a null label compares with nothing, nor does a vector that is
 null, empty, zero or holds null or non-finite components (n_links 0, its own
@@ -31,6 +33,8 @@ from symloom.llm import common, vectors
 #: Vectors at most, in expectation, that the centroids are fitted on.
 SAMPLE = 20_000
 BLOCK = 512
+#: Centroids nearest to an item that are tried to keep it from visiting a cell.
+WITNESSES = 8
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -51,6 +55,9 @@ def _cells(centroids: np.ndarray, reach: float, block: int):
                     home = s.argmax(axis=1)
                     gap = s[np.arange(len(s)), home][:, None] - s
                     ok = (gap <= reach * far[home] + 1e-9) & (np.arange(len(centroids)) <= home[:, None])
+                    near = np.argpartition(-s, min(WITNESSES, s.shape[1]) - 1, axis=1)[:, :WITNESSES]
+                    for w in near.T:
+                        ok &= s[np.arange(len(s)), w][:, None] - s <= reach * far[w] + 1e-9
                     row, cell = np.nonzero(ok)
                     home = home[row]
                 else:
@@ -97,8 +104,6 @@ def _compare(least: float):
         for i, j in np.argwhere(np.abs(s - least) < 1e-12):  # at the border, by the plain definition
             p, q = raw_x[i], raw_y[j]
             hit[i, j] = float((p * q).sum()) / (float(np.sqrt((p * p).sum())) * float(np.sqrt((q * q).sum()))) >= least
-        vx, vy = left.visits.to_numpy(bool), right.visits.to_numpy(bool)
-        hit &= ~(vx[:, None] & vy[None, :])  # two visitors meet in a cell of their own
         ix, iy = left.item.to_numpy(), right.item.to_numpy()
         hit &= ix[:, None] != iy[None, :]
         nx, ny = hit @ right.n.to_numpy(), (hit.T @ left.n.to_numpy())
@@ -132,11 +137,14 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, cells: int | None = No
     reach = float(np.sqrt(2 - 2 * least))
     spread = named.select("label", "embedding", "item", "n").mapInPandas(_cells(centroids, reach, block), "label string, dim int, cell int, visits boolean, item long, n long, embedding array<double>")
     spread = common.written(spread, "cells")
-    sizes = spread.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = spread.join(sizes, ["label", "dim", "cell"]).withColumn("blk", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    # Each pair of blocks once: block i meets j >= i as side 0, j < i as side 1.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("blk")).alias("i"), F.greatest(j, F.col("blk")).alias("j"), (j < F.col("blk")).cast("int").alias("side")))
-    dealt = dealt.withColumn("p", F.explode(pairs)).select("label", "dim", "cell", "p.*", "visits", "item", "n", "embedding")
+    in_blocks = lambda test: F.ceil(F.count_if(test) / block).cast("int")
+    sizes = spread.groupBy("label", "dim", "cell").agg(in_blocks(~F.col("visits")).alias("homes"), in_blocks(F.col("visits")).alias("guests")).where("homes > 0")
+    own = F.pmod(F.xxhash64("item"), F.when(F.col("visits"), F.col("guests")).otherwise(F.col("homes"))).cast("int")
+    dealt = spread.join(sizes, ["label", "dim", "cell"]).withColumn("blk", own + F.when(F.col("visits"), F.col("homes")).otherwise(0))
+    # Each pair of blocks once: block i meets j >= i as side 0, j < i as side 1. Guests' blocks come after the homes' and meet those alone.
+    last = F.when(F.col("visits"), F.col("homes")).otherwise(F.col("homes") + F.col("guests")) - 1
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(F.least(j, F.col("blk")).alias("i"), F.greatest(j, F.col("blk")).alias("j"), (j < F.col("blk")).cast("int").alias("side")))
+    dealt = dealt.withColumn("p", F.explode(pairs)).select("label", "dim", "cell", "p.*", "item", "n", "embedding")
     found = common.written(dealt.groupBy("label", "dim", "cell", "i", "j").applyInPandas(_compare(least), "a long, b long, n long"), "links")
     linked = found.where("b < 0").groupBy(F.col("a").alias("item")).agg(F.sum("n").alias("links"))
     if twice:
