@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 85, den: int = 10
     keys = common.written(reps.select("rep", "sig").mapInArrow(_keys(halves, minima), "key long, rep long"), "keys")
     buckets = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = keys.join(buckets, "key").where(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    sigs = reps.groupBy("rep").agg(F.min("sig").alias("sig"))
+    # Written, so that the joins below read it by a plain exchange and a pivot of many pairs can be split.
+    sigs = common.written(reps.groupBy("rep").agg(F.min("sig").alias("sig")), "sigs")
     pairs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
     pairs = common.written(pairs.mapInArrow(_agree(least), "a long, b long"), "pairs")
     text = base.where("doc_id is not null")
