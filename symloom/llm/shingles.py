@@ -19,7 +19,7 @@ _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 class _Words(dict):
     """Hash of a word, remembered up to a bound."""
 
-    most = 500_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
