@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import inspect
 import json
 import sys
 
@@ -22,8 +23,7 @@ def call(index: Index, tool: str, args: dict) -> object:
     """A named query by its name and arguments: rows as dictionaries, or the text of an artefact."""
     if tool == "reindex":
         return index.reindex(**args)
-    names = {"index_status", "map_overview", "find_symbol", "read_source", "search_symbols", "get_skeleton", "get_dependencies", "get_impact", "trace_data_flow", "get_ranked_symbols", "compress_context", "pack_repo", "search_imports"}
-    if tool not in names:
+    if tool not in QUERIES:
         raise LookupError(f"no query {tool}")
     out = getattr(index, tool)(**args)
     if tool == "pack_repo":
@@ -33,8 +33,25 @@ def call(index: Index, tool: str, args: dict) -> object:
     return [r.asDict(recursive=True) for r in out.collect()]
 
 
+QUERIES = ("map_overview", "find_symbol", "read_source", "search_symbols", "get_skeleton", "get_dependencies", "get_impact", "trace_data_flow", "get_ranked_symbols", "compress_context", "pack_repo", "search_imports", "index_status", "reindex")
+_JSON_TYPES = {"str": "string", "int": "integer"}
+
+
+def tools() -> list[dict]:
+    """Name, description and argument schema of each named query, read from its method."""
+    out = []
+    for name in QUERIES:
+        method = getattr(Index, name)
+        args = [a for n, a in inspect.signature(method).parameters.items() if n != "self"]
+        kinds = {a.name: {"type": _JSON_TYPES[str(a.annotation).partition(" ")[0]]} for a in args}
+        needed = [a.name for a in args if a.default is a.empty]
+        about = (method.__doc__ or name.replace("_", " ")).partition("\n")[0]
+        out.append({"name": name, "description": about, "inputSchema": {"type": "object", "properties": kinds, "required": needed}})
+    return out
+
+
 def serve(index: Index) -> None:
-    """One JSON-RPC request a line on stdin, one answer a line on stdout."""
+    """One JSON-RPC request a line on stdin, one answer a line on stdout; notifications get none."""
     for line in sys.stdin:
         if not line.strip():
             continue
@@ -43,7 +60,14 @@ def serve(index: Index) -> None:
         except ValueError as e:
             print(json.dumps({"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": str(e)}}), flush=True)
             continue
-        if ask.get("method") != "tools/call":
+        method = ask.get("method")
+        if "id" not in ask:
+            continue
+        plain = {"initialize": lambda: {"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "symloom", "version": "0.1"}}, "ping": dict, "tools/list": lambda: {"tools": tools()}}
+        if method in plain:
+            print(json.dumps({"jsonrpc": "2.0", "id": ask["id"], "result": plain[method]()}), flush=True)
+            continue
+        if method != "tools/call":
             print(json.dumps({"jsonrpc": "2.0", "id": ask.get("id"), "error": {"code": -32601, "message": "unknown method"}}), flush=True)
             continue
         params = ask.get("params") or {}
