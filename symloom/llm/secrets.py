@@ -9,8 +9,8 @@ of base64 and url-safe alphabets that hold a digit and a letter. The Shannon
 entropy of a sliding window of 20 characters is kept by incremental counts: a
 character that comes in and one that goes out each change one count and the sum
 of c * log2(c). A window is high from 3.0 bits (candidates of hexadecimal digits
-only) or 3.75 bits (mixed classes, which must hold upper and lower case or one of
-``+/_=-`` besides letters and digits). The span reaches from the first high
+only), 3.5 (lower case and digits), 3.4 (upper case and digits) or 3.75 (mixed, which
+hold upper and lower case or one of ``+/_=-`` besides letters and digits). The span reaches from the first high
 window to the last. The allow-list drops UUIDs, slugs of plain words and
 numbers, paths and addresses, runs of few distinct characters and placeholders;
 spans that meet a base span are not added.
@@ -30,7 +30,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of [A-Z0-9] is taken from its first AKIA
 HEX = r"[0-9a-f]{24,}"  # runs are maximal
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-HEX_BITS, MIXED_BITS = 3.0, 3.75
+HEX_BITS, LOWER_BITS, UPPER_BITS, MIXED_BITS = 3.0, 3.5, 3.4, 3.75
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ["assign", "access", "hex", "entropy"]
 #: Candidates that are no secrets.
@@ -101,15 +101,19 @@ def high_windows(s: Column, bits: Column) -> Column:
 
 
 def _wanted(s: Column) -> Column:
-    """A candidate that the allow-list and the character classes leave."""
-    hexa = s.rlike("^[0-9a-fA-F]+$")
-    mixed = (s.rlike("[a-z]") & s.rlike("[A-Z]")) | s.rlike("[+/_=-]")
-    ok = s.rlike("[0-9]") & s.rlike("[A-Za-z]") & (hexa | mixed)
+    """A candidate that the allow-list leaves; every one with a digit and a letter is of a class."""
+    ok = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
     for pattern in ALLOW:
         ok = ok & ~s.rlike(pattern)
     return ok
 
 
+def _bits(s: Column) -> Column:
+    """The least entropy of a high window in a candidate, by its character class."""
+    of = F.when(s.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).when(s.rlike("^[0-9a-z]+$"), F.lit(LOWER_BITS))
+    return of.when(s.rlike("^[0-9A-Z]+$"), F.lit(UPPER_BITS)).otherwise(F.lit(MIXED_BITS))
+
+
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with columns _base and _spans: arrays of struct(start, kind, end), kind a place in KINDS.
 
@@ -127,8 +131,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     runs = F.filter(_runs(t, CANDIDATE, F.col("_m3")), lambda r: _wanted(r["s"]))
 
     def span(r: Column) -> Column:
-        bits = F.when(r["s"].rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(MIXED_BITS))
-        w = high_windows(r["s"], bits)
+        w = high_windows(r["s"], _bits(r["s"]))
         return F.transform(F.array(w), lambda x: F.struct((r["start"] + x["first"]).alias("start"), F.lit(3).alias("kind"), (r["start"] + x["last"] + WINDOW).alias("end"), (x["first"] >= 0).alias("high")))
 
     more = F.filter(F.flatten(F.transform(runs, span)), lambda s: s["high"])
@@ -180,7 +183,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same in DuckDB, with each window's entropy from scratch."""
+    """The same in DuckDB, with each window's entropy from scratch, but without the classes of one case."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
 
     def runs(pattern: str) -> str:

@@ -94,3 +94,20 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = S.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_tokens_of_one_case(spark):
+    rng = random.Random(12)
+    token = lambda letters, n: "".join(rng.choice(letters) for _ in range(n)) + "7g" + letters[0]
+    keys = ["9zq7x1mk3v0tw8rb5nyh2jd6", "K5QXG7DLMZ2WY4TPNB3RHJ6V"]
+    keys += [token(string.ascii_lowercase + string.digits, n) for n in (24, 40, 300)] + [token(string.ascii_uppercase + "234567", n) for n in (24, 40, 300)]
+    keys = [k.upper() if re.search("[A-Z]", k) else k for k in keys]
+    plain = ["internationalization2024", "aaaaaaaaaaaaaaaaaaaazz12", "AAAABBBBAAAABBBBAAAAZ123"]
+    df = spark.createDataFrame([(i, f"key {k} end") for i, k in enumerate(keys + plain)], "doc_id long, text string")
+    got = {r.doc_id: r for r in S.scan(df).collect()}
+    text = {r.doc_id: r.text for r in S.redact(df).collect()}
+    for i, k in enumerate(keys):
+        bits = {a: -sum(c / 20 * math.log2(c / 20) for c in Counter(k[a : a + 20]).values()) for a in range(len(k) - 19)}
+        high = [a for a, h in bits.items() if h >= (S.LOWER_BITS if k.islower() else S.UPPER_BITS)]
+        assert got[i].spans == f"entropy:{4 + high[0]}:{4 + high[-1] + 20}" and k not in text[i]
+    assert all(got[len(keys) + i].spans == "" for i in range(len(plain)))
