@@ -11,9 +11,9 @@ character that comes in and one that goes out each change one count and the sum
 of c * log2(c). A window is high from 3.0 bits (candidates of hexadecimal digits
 only), 3.5 (lower case and digits), 3.4 (upper case and digits) or 3.75 (mixed, which
 hold upper and lower case or one of ``+/_=-`` besides letters and digits). The span reaches from the first high
-window to the last. The allow-list drops UUIDs, slugs of plain words and
-numbers, paths and addresses, runs of few distinct characters and placeholders;
-spans that meet a base span are not added.
+window to the last. The allow-list drops UUIDs and slugs of plain words and
+numbers. No window touches a placeholder, and in paths and addresses each segment
+is a candidate of its own. Spans that meet a base span are not added.
 
 Defined cases: a null text is empty and has no spans; rows with equal doc_id are
 scanned alike, each by itself; columns that clash with internal names are kept
@@ -40,6 +40,12 @@ ALLOW = [
     r"(?i)(example|placeholder|changeme|your_|dummy|xxxx|0000000|1234567|abcdefg)",
     r"//|/[A-Za-z]+/[A-Za-z]+/",
 ]
+#: Of these, those that speak of a candidate as a whole; the others speak of its pieces only.
+WHOLE = ALLOW[:2]
+#: Placeholders by length, which no window may touch.
+BLANKS = {4: "xxxx", 5: "your_|dummy", 7: "example|0000000|1234567|abcdefg", 8: "changeme", 11: "placeholder"}
+#: In a path or an address the pieces are its segments. A // in the middle of a run is none, as base64 has it by chance.
+PATH = r"^//|=//|/[A-Za-z]+/[A-Za-z]+/"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -103,11 +109,21 @@ def high_windows(s: Column, bits: Column) -> Column:
 def _wanted(s: Column) -> Column:
     """A candidate that the allow-list leaves; every one with a digit and a letter is of a class."""
     ok = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
-    for pattern in ALLOW:
+    for pattern in WHOLE:
         ok = ok & ~s.rlike(pattern)
     return ok
 
 
+def _pieces(s: Column) -> Column:
+    """array<struct<start, end, s>>: the parts of a candidate that placeholders and, in a path, slashes leave."""
+    left = F.when(s.rlike(PATH), F.translate(s, "/", " ")).otherwise(s)
+    for n, words in BLANKS.items():
+        left = F.regexp_replace(left, f"(?i)({words})", " " * n)
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(s).alias("end"), s.alias("s")))
+    parts = F.filter(_runs(left, CANDIDATE, F.regexp_extract_all(left, F.lit(CANDIDATE), 0)), lambda r: _wanted(r["s"]))
+    return F.when(left == s, whole).otherwise(parts)
+
+
 def _bits(s: Column) -> Column:
     """The least entropy of a high window in a candidate, by its character class."""
     of = F.when(s.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).when(s.rlike("^[0-9a-z]+$"), F.lit(LOWER_BITS))
@@ -130,9 +146,12 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     none = F.expr(f"cast(array() as {_SPAN})")
     runs = F.filter(_runs(t, CANDIDATE, F.col("_m3")), lambda r: _wanted(r["s"]))
 
+    def high(p: Column) -> Column:
+        return F.transform(F.array(high_windows(p["s"], _bits(p["s"]))), lambda w: F.struct((p["start"] + w["first"]).alias("first"), (p["start"] + w["last"]).alias("last"), (w["first"] >= 0).alias("high")))
+
     def span(r: Column) -> Column:
-        w = high_windows(r["s"], _bits(r["s"]))
-        return F.transform(F.array(w), lambda x: F.struct((r["start"] + x["first"]).alias("start"), F.lit(3).alias("kind"), (r["start"] + x["last"] + WINDOW).alias("end"), (x["first"] >= 0).alias("high")))
+        w = F.filter(F.flatten(F.transform(_pieces(r["s"]), high)), lambda x: x["high"])
+        return F.transform(F.array(w), lambda x: F.struct((r["start"] + F.array_min(F.transform(x, lambda y: y["first"]))).alias("start"), F.lit(3).alias("kind"), (r["start"] + F.array_max(F.transform(x, lambda y: y["last"])) + WINDOW).alias("end"), (F.size(x) > 0).alias("high")))
 
     more = F.filter(F.flatten(F.transform(runs, span)), lambda s: s["high"])
     more = F.transform(more, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
@@ -183,7 +202,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same in DuckDB, with each window's entropy from scratch, but without the classes of one case."""
+    """The same in DuckDB, with each window's entropy from scratch, but without the classes of one case, and with the allow-list for whole runs."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
 
     def runs(pattern: str) -> str:

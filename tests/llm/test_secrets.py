@@ -111,3 +111,14 @@ def test_tokens_of_one_case(spark):
         high = [a for a, h in bits.items() if h >= (S.LOWER_BITS if k.islower() else S.UPPER_BITS)]
         assert got[i].spans == f"entropy:{4 + high[0]}:{4 + high[-1] + 20}" and k not in text[i]
     assert all(got[len(keys) + i].spans == "" for i in range(len(plain)))
+
+
+def test_secrets_beside_allowed_parts(spark):
+    key = "Ab3dE9kLm2Qw7Rt5Yz8Xc1Vb4Nh6"
+    rows = [f"/api/token/{key}", f"//{key}", f"x={key}+dummy", f"EXAMPLE{key}", f"{key}//{key}", f"/data/store/{key}/part/{key}"]
+    plain = ["/usr/local/lib2/python3-dist/Config_Loader", "//a/b/c/d/e/f12345678901234", "/some/path/of/words/2024/part17", "your_dummy_example_1234567"]
+    df = spark.createDataFrame(list(enumerate(rows + plain)), "doc_id long, text string")
+    text = {r.doc_id: r.text for r in S.redact(df).collect()}
+    assert all(key not in text[i] and "[SECRET]" in text[i] for i in range(len(rows)))
+    assert [text[len(rows) + i] for i in range(len(plain))] == plain
+    assert {r.doc_id: r.spans for r in S.scan(df.where("doc_id in (0, 3)")).collect()} == {0: "entropy:11:39", 3: "entropy:7:35"}
