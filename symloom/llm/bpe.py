@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the ``tokenizers`` library, with a bounded memory of words.
+"""Token ids of whole texts by the ``tokenizers`` library, with a bounded memory of pieces.
 
 A boundary between a character that is no white space and a space is always a
 boundary of the byte-level pre-tokenizer, so a text is cut there and the ids of
@@ -15,15 +15,15 @@ import re
 from array import array
 
 _L = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
-_LETTERS = re.compile(f"[{_L}]+")
-_SIMPLE = re.compile(f"[\t\n\r -~{_L}]*")
-_PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
+_LETTERS = re.compile(f"[{_L}]++")
+_SIMPLE = re.compile(f"[\t\n\r -~{_L}]*+")
+_PRE = re.compile(rf" ?[{_L}]++| ?[0-9]++|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_L}0-9]++|\s+(?!\S)|\s++")
+_CUT = re.compile(r"(?<=\S)(?= )")
 #: White space (and what Python takes for it) before a space: the rare texts that need care.
 _SPACES = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 _ASCII_SPACES = [s for s in _SPACES if s.isascii()]
 #: Marks that form one pre-token after a word.
 _MARKS = ".,!?;:*$%&#@()-"
-_CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -37,70 +37,76 @@ def _byte_chars() -> dict[int, str]:
     return table
 
 
+class Memory(dict):
+    """Ids of pieces, in two generations of ``most`` each; find(piece) gives the ids and whether they are remembered.
+
+    When the newer one is full it becomes the older one, which was forgotten;
+    a piece that comes again is taken over.
+    """
+
+    def __init__(self, find, most: int):
+        self.find, self.most, self.older = find, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids, keep = self.find(piece)
+            if not keep:
+                return ids
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """ids(text): unsigned 32-bit little-endian ids as bytes. words: how many words are remembered."""
+    """ids(text): unsigned 32-bit little-endian ids as bytes. pieces: how many a generation of each of the two memories holds at most."""
 
-    def __init__(self, path: str, words: int = 1_000_000):
+    def __init__(self, path: str, pieces: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
+        self.tokenize = self.whole.model.tokenize
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.table = _byte_chars()
-        outer = self
-
-        class Words(dict):
-            """Ids of " " + word."""
-
-            def __missing__(self, word: str) -> bytes:
-                if _LETTERS.fullmatch(word):
-                    ids = outer.bpe(" " + word)
-                    if len(word) <= 40:
-                        if len(self) >= words:
-                            self.clear()
-                        self[word] = ids
-                    return ids
-                core = word.rstrip(_MARKS)
-                if core and _LETTERS.fullmatch(core):
-                    ids = self[core] + outer.parts[word[len(core) :]]
-                else:
-                    ids = outer.piece(" " + word)
-                if len(word) <= 8:
-                    self[word] = ids
-                return ids
+        # What stands after a space up to the next one; and pre-tokens that have no space before them.
+        self.words, self.parts = Memory(self._word, pieces), Memory(lambda p: (self._bpe(p), len(p) <= 40), pieces // 2)
 
-        class Parts(dict):
-            """Ids of a pre-token without a space before it."""
+    def _bpe(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            seen = piece.replace(" ", "Ġ")
+        else:
+            seen = piece.encode().decode("latin-1").translate(self.table)
+        return array("I", [t.id for t in self.tokenize(seen)]).tobytes()
 
-            def __missing__(self, part: str) -> bytes:
-                ids = outer.bpe(part)
-                if len(part) <= 40:
-                    if len(self) >= words // 4:
-                        self.clear()
-                    self[part] = ids
-                return ids
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-        self.words, self.parts = Words(), Parts()
+    def _plain(self, text: str) -> bytes:
+        words, parts = self.words, self.parts
+        return b"".join([words[p[1:]] if p[0] == " " and p[1:2].isalpha() else parts[p] for p in _PRE.findall(text)])
 
-    def bpe(self, part: str) -> bytes:
-        seen = part.encode().decode("latin-1").translate(self.table)
-        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+    def _word(self, word: str) -> tuple[bytes, bool]:
+        if _LETTERS.fullmatch(word):
+            return self._bpe(" " + word), len(word) <= 40
+        core = word.rstrip(_MARKS)
+        if _LETTERS.fullmatch(core):
+            return self.words[core] + self.parts[word[len(core) :]], len(word) <= 8
+        return self._piece(" " + word), len(word) <= 8
 
-    def piece(self, s: str) -> bytes:
-        if not _SIMPLE.fullmatch(s):
-            return array("I", self.whole.encode(s, add_special_tokens=False).ids).tobytes()
-        words, parts = self.words, self.parts
-        return b"".join([words[p[1:]] if p[0] == " " and p[1:2].isalpha() else parts[p] for p in _PRE.findall(s)])
+    def _piece(self, piece: str) -> bytes:
+        return self._plain(piece) if _SIMPLE.fullmatch(piece) else self._whole(piece)
 
     def ids(self, text: str) -> bytes:
         if any(a in text for a in self.added):
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            return self._whole(text)
         if any(c in text for c in (_ASCII_SPACES if text.isascii() else _SPACES)):
-            return b"".join(map(self.piece, _CUT.split(text)))
+            return b"".join(map(self._piece, _CUT.split(text)))
         first, *rest = text.split(" ")
         words = self.words
-        return self.piece(first) + b"".join([words[w] for w in rest])
+        return self._piece(first) + b"".join([words[w] for w in rest])
 
 
 _held: dict[str, Encoder] = {}

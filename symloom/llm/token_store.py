@@ -44,10 +44,9 @@ def best_widths(ids: np.ndarray) -> list[int]:
     """Chunk widths, low bits first, with the least total bits for these ids."""
     if not len(ids):
         return [1]
-    need = np.maximum(1, np.ceil(np.log2(ids.astype("f8") + 1)).astype(int))
-    top = int(need.max())
-    beyond = np.array([(need > b).sum() for b in range(top + 1)], dtype="f8")
-    beyond[0] = len(ids)
+    lengths = np.bincount(np.maximum(1, np.frexp(ids.astype("f8"))[1]), minlength=2)
+    top = len(lengths) - 1
+    beyond = np.append(lengths[::-1].cumsum()[::-1][1:], 0).astype("f8")  # ids of more than b bits
     cost, step = [0.0] * (top + 1), [0] * (top + 1)
     for b in range(top - 1, -1, -1):  # cost of the bits from b on, for ids that reach them
         cost[b], step[b] = min((beyond[b] * (w + (b + w < top) * (1 + 32 / BLOCK)) + cost[b + w], w) for w in range(1, top - b + 1))
@@ -59,16 +58,38 @@ def best_widths(ids: np.ndarray) -> list[int]:
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
-    bits = (values[:, None] >> np.arange(width, dtype="u4")) & 1
-    return np.packbits(bits.astype("u1").ravel(), bitorder="little").tobytes()
+    """Chunks of ``width`` bits one after the other: eight of them are ``width`` bytes, made in words of 64 bits."""
+    n, words = -(-len(values) // 8), -(-width // 8)
+    eight = np.zeros((8, n), "u8")
+    eight.T.flat[: len(values)] = values
+    out = np.zeros((n, words), "<u8")
+    for k in range(8):
+        word, bit = divmod(k * width, 64)
+        out[:, word] |= eight[k] << np.uint64(bit)
+        if bit + width > 64:
+            out[:, word + 1] |= eight[k] >> np.uint64(64 - bit)
+    raw = out.view("u1").reshape(n, 8 * words)[:, :width].tobytes()
+    return raw[: (len(values) * width + 7) // 8]
 
 
 def _unpack(buf: memoryview, first: int, last: int, width: int) -> np.ndarray:
     """Chunks first to last - 1 of a packed level."""
-    lo, hi = first * width, last * width
-    raw = np.frombuffer(buf[lo // 8 : (hi + 7) // 8], "u1")
-    bits = np.unpackbits(raw, bitorder="little")[lo % 8 : lo % 8 + hi - lo].reshape(-1, width)
-    return bits.astype("u4") @ (np.uint32(1) << np.arange(width, dtype="u4")) if len(bits) else np.zeros(0, "u4")
+    lo, hi = first // 8, -(-last // 8)
+    n, words = max(0, hi - lo), -(-width // 8)
+    raw = np.zeros(n * width, "u1")
+    own = np.frombuffer(buf[lo * width : hi * width], "u1")
+    raw[: len(own)] = own
+    eight = np.zeros((n, 8 * words), "u1")
+    eight[:, :width] = raw.reshape(n, width)
+    eight = eight.view("<u8")
+    out, mask = np.empty((n, 8), "u4"), np.uint64((1 << width) - 1)
+    for k in range(8):
+        word, bit = divmod(k * width, 64)
+        x = eight[:, word] >> np.uint64(bit)
+        if bit + width > 64:
+            x |= eight[:, word + 1] << np.uint64(64 - bit)
+        out[:, k] = x & mask
+    return out.ravel()[first - 8 * lo : last - 8 * lo]
 
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], "u4")
@@ -210,13 +231,16 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     """Encode whole texts in ascending id order and write a store at ``path``.
 
     A null text is empty; a null id comes first; rows with equal ids are kept,
-    in the order of their texts. Columns but the two named are not read. Texts
-    are dealt into ranges of the id before they are encoded, so each is shuffled
-    once and encoded once; a segment holds whole documents and at least
+    in the order of a hash of their texts. Columns but the two named are not
+    read. Texts are dealt into ranges of id, hash and row number before they are
+    encoded, so each is shuffled once and encoded once, and one id may have rows
+    in many ranges; a segment holds whole documents and at least
     ``segment_tokens`` ids, but for the last of a part.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(common.width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("_same", F.xxhash64("text"))
+    by = ["doc_id", "_same", F.monotonically_increasing_id()]
+    rows = rows.repartitionByRange(common.width(docs.sparkSession), *by).sortWithinPartitions("doc_id", "_same", "text").drop("_same")
     rows.mapInArrow(_segments(vocabulary, end_id, segment_tokens), _SEGMENTS).write.option("compression", "none").parquet(f"{path}/segments")
     sizes = docs.sparkSession.read.parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -234,7 +258,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
             seg = Segment(payload.as_py())
-            crc = [zlib.crc32(seg.document(k).astype("<u4").tobytes()) for k in range(seg.n_docs)]
+            ids, cuts = memoryview(seg.slice(0, seg.n_tokens).astype("<u4").tobytes()), (4 * seg.first.astype("i8")).tolist()
+            crc = [zlib.crc32(ids[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(seg.doc_ids, pa.int64(), mask=seg.null),

@@ -1,11 +1,15 @@
+import functools
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from symloom.llm import bpe, common, token_store
 
 
+@functools.cache
 def whole():
     from tokenizers import Tokenizer
 
@@ -22,10 +26,17 @@ def test_encoder_equals_library():
 
 
 def test_encoder_forgets():
-    t, code = whole(), bpe.Encoder(bpe.default_path(), words=3)
-    text = "one two three, four five. six seven one two"
-    for _ in range(2):
+    t, code = whole(), bpe.Encoder(bpe.default_path(), pieces=8)
+    texts = ["one two three, four five. six seven one two", " ".join(map(str, range(500))), "日本 1 語 2 " * 30 + " ".join(f"語{i}" for i in range(300)), "x" * 5000]
+    for text in texts * 2:
         assert list(np.frombuffer(code.ids(text), "<u4")) == t.encode(text, add_special_tokens=False).ids
+        assert all(len(m) <= 8 and len(m.older) <= 8 for m in (code.words, code.parts))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab'stZé \n\t\r.,1ªµ語\x1c\u00a0\u2003-<|>"), max_size=30))
+def test_encoder_on_any_text(text):
+    assert list(np.frombuffer(bpe.encoder(bpe.default_path()).ids(text), "<u4")) == whole().encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("ids", [[], [0], [7] * 2000, list(range(0, 50257, 7)), [2**32 - 1, 0, 5], [1] * 511 + [70000] * 3])
@@ -46,7 +57,7 @@ def test_store(spark, tmp_path):
     token_store.write_store(docs, path, bpe.default_path(), segment_tokens=10)
     got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_store.digest(spark, path).collect()))
     t, at, want, flat = whole(), 0, [], []
-    for d, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for d, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):  # the two rows of id 3 are equal
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
         want.append((at, d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -56,6 +67,29 @@ def test_store(spark, tmp_path):
     assert dict(map(tuple, token_store.read_tokens(spark, path, ask).collect())) == {p: flat[p] for p in ask if p < len(flat)}
 
 
+@pytest.mark.parametrize("width", [1, 3, 7, 8, 9, 13, 16, 17, 31, 32])
+def test_packed_chunks(width):
+    values = np.random.default_rng(width).integers(0, 1 << width, 203, dtype="u8").astype("u4")
+    raw = memoryview(token_store._pack(values, width))
+    assert len(raw) == (203 * width + 7) // 8
+    assert int.from_bytes(raw, "little") == sum(int(v) << (i * width) for i, v in enumerate(values))
+    for a, b in ((0, 203), (5, 5), (9, 10), (7, 100), (202, 203)):
+        assert (token_store._unpack(raw, a, b, width) == values[a:b]).all()
+
+
+def test_one_id_in_many_parts(spark, tmp_path):
+    """Two thirds of the rows have one id, half of these equal texts: no range holds them all, and positions stay gapless."""
+    rows = [(7, "same text" if k % 2 else f"text {k}") for k in range(400)] + [(k, "z") for k in range(8, 208)]
+    path = str(tmp_path / "store")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    token_store.write_store(docs, path, bpe.default_path(), segment_tokens=50)
+    assert max(r["count"] for r in spark.read.parquet(f"{path}/segments").groupBy("part").count().collect()) > 1
+    assert spark.read.parquet(f"{path}/segments").groupBy("part").agg({"n_docs": "sum"}).agg({"sum(n_docs)": "max"}).first()[0] < 300
+    got = sorted((r.start, r.n_tokens, r.doc_id) for r in token_store.digest(spark, path).collect())
+    assert len(got) == 600 and [r[2] for r in got] == sorted(r[0] for r in rows)
+    assert all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:]))
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     token_store.write_store(docs, str(tmp_path / "s"), bpe.default_path())
