@@ -2,7 +2,8 @@
 
 Intermediate tables go to the folder in ``spark.checkpoint.dir`` (shared by all
 executors on a cluster), so a lost executor never loses what was written. Only
-where that setting is empty, as in tests, a local temporary folder is used.
+where that setting is empty and the master is local, as in tests, a local
+temporary folder is used; elsewhere an empty setting is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="symloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -89,8 +92,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, component), the smallest id reachable.
 
     Alternating large-star and small-star steps; each is a min() with map-side
-    combine and a join that adaptive execution can split, so a hub of any size
-    is never gathered in one task. Each step is a written table. Ids without an
+    combine, written, and a join of two written tables, which adaptive execution
+    can split, so a hub of any size is never gathered in one task. Ids without an
     edge to another id are not returned.
     """
     pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -104,16 +107,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not was[0]:
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low")
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where(F.col("u") != F.col("v")).distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        forget(low)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
         new = written(small, "small")
         now = mark(new)
         forget(cur)
         forget(large)
+        forget(low)
         cur = new
         if now == was:
             break

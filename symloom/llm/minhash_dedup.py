@@ -6,17 +6,23 @@ root of what as many plain bands need. With m = 8 and k = 3 a pair of
 similarity 0.85 shares a table with probability above 0.999.
 
 1. One pass over the texts gives each document the digest of its shingle set and
-   its minima. Documents with equal sets are one class, named by its smallest id.
+   its minima. Documents with equal sets are one class, with a number of its own.
 2. In each table bucket, every class is paired with the smallest; pairs whose
    minima agree in too few places to be links are left out.
-3. The pairs are confirmed on the full sets of the two whole texts. Components
-   of the confirmed links are labels.
+3. The full sets of the classes that are left are made once from their whole
+   texts, and the pairs are confirmed on them. Components of links are labels.
 4. Buckets of three and more that still hold two labels are searched to the end:
    the classes that share such buckets form clusters, and blocks of a cluster are
    compared in tasks that return spanning forests of confirmed links.
 
 No pair list of a group is made: step 2 is linear in a bucket, step 4 returns
-forests. Equal texts meet in step 1, however many they are.
+forests. Equal texts meet in step 1, however many they are. Step 4 is quadratic
+in the classes of a cluster that are like each other but for a link, in tasks of
+two blocks.
+
+What can be missed: a pair of similarity 0.85 shares no table with a chance just
+below 0.001 (``halves`` and ``minima`` set it), and one that does is dropped for
+its minima with a chance of 1e-7. ``halves=16`` brings the first below 1e-9.
 
 Defined cases: null texts, empty texts and texts of white space have an empty
 set (n_shingles 0), link with nothing and are kept; rows with equal doc_id are
@@ -32,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +48,8 @@ from symloom.llm.shingles import MinHash, digest, linked, shingles
 #: Half-keys in each collection, and minima in a half-key.
 HALVES = 8
 MINIMA = 3
-BLOCK = 128
+#: Classes of a block, and shingles where they are large (a class of more is a block by itself, but for hash collisions).
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 
 def _least_agreement(count: int, similarity: float, miss: float = 1e-7) -> int:
@@ -72,7 +80,7 @@ def _sketch(size: int, count: int):
 
 
 def _keys(halves: int, each: int):
-    """Rows (key, rep) for the halves * halves tables."""
+    """Rows (key, cls) for the halves * halves tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul = np.uint64(0x9E3779B97F4A7C15)
@@ -87,40 +95,54 @@ def _keys(halves: int, each: int):
                     half = (half ^ sig[:, :, :, i]) * mul
                     half ^= half >> np.uint64(31)
                 key = (half[:, 0, :, None] * mul + half[:, 1, None, :]).reshape(part.num_rows, -1)
-                rep = np.repeat(part.column(0).to_numpy(), key.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view("i8")), pa.array(rep)], ["key", "rep"])
+                cls = np.repeat(part.column(0).to_numpy(), key.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view("i8")), pa.array(cls)], ["key", "cls"])
 
     return run
 
 
 def _agree(least: int):
+    """Pairs (a, b, many, ok) that may be links (ok), or stand in a bucket of three and more (many)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= least))
+                ok = pa.array((a == b).sum(axis=1) >= least)
+                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "many")), ok], ["a", "b", "many", "ok"])
+                yield out.filter(pc.or_(ok, batch.column("many")))
 
     return run
 
 
-def _confirm(size: int, num: int, den: int):
-    """The pairs (a, b) that are links; the set of b is kept while b stays the same."""
+def _sets(size: int):
+    """(cls, shingles) of the texts that have the digest of their class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("text_a").cast(pa.binary()), batch.column("text_b").cast(pa.binary())):
-                y = y.as_py()
-                if held is None or y != last:
-                    last, held = y, shingles(y, size)
-                ok.append(linked(shingles(x.as_py(), size), held, num, den))
+            cls, sets = [], []
+            for c, want, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).cast(pa.binary())):
+                s = shingles(text.as_py(), size)
+                if len(s) and digest(s) == want.as_py():
+                    cls.append(c)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "shingles"])
+
+    return run
+
+
+def _confirm(num: int, den: int):
+    """The pairs (a, b) that are links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [linked(np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8"), num, den) for x, y in zip(batch.column("set_a"), batch.column("set_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _search(size: int, num: int, den: int, least: int):
+def _search(num: int, den: int, least: int):
     """A spanning forest of the links between two blocks of a cluster, for classes of different labels."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +152,7 @@ def _search(size: int, num: int, den: int, least: int):
         a, b = [], []
         if len(left) and len(right):
             x, y = (np.frombuffer(b"".join(p.sig), "<u4").reshape(len(p), -1) for p in (left, right))
-            sets: dict[tuple, np.ndarray] = {}
+            sx, sy = ([np.frombuffer(s, "u8") for s in p.shingles] for p in (left, right))
             root = {v: v for v in pd.concat([left.label, right.label])}
 
             def find(v: int) -> int:
@@ -139,21 +161,18 @@ def _search(size: int, num: int, den: int, least: int):
                     v = root[v]
                 return v
 
-            def full(side: int, p: pd.DataFrame, i: int) -> np.ndarray:
-                k = (0 if same else side, i)
-                if k not in sets:
-                    sets[k] = shingles(p.text.iloc[i].encode("utf-8", "surrogatepass"), size)
-                return sets[k]
-
-            lx, ly, rx, ry = left.label.to_numpy(), right.label.to_numpy(), left.rep.to_numpy(), right.rep.to_numpy()
+            lx, ly, cx, cy = left.label.to_numpy(), right.label.to_numpy(), left.cls.to_numpy(), right.cls.to_numpy()
+            ny = np.array([len(s) for s in sy])
             for i in range(len(left)):
-                for j in np.flatnonzero(((x[i] == y).sum(axis=1) >= least) & (lx[i] != ly)):
+                near = (den * ny >= num * len(sx[i])) & (num * ny <= den * len(sx[i])) & (lx[i] != ly)
+                near[near] = (x[i] == y[near]).sum(axis=1) >= least
+                for j in np.flatnonzero(near):
                     if same and j <= i or find(lx[i]) == find(ly[j]):
                         continue
-                    if linked(full(0, left, i), full(1, right, j), num, den):
+                    if linked(sx[i], sy[j], num, den):
                         root[find(lx[i])] = find(ly[j])
-                        a.append(rx[i])
-                        b.append(ry[j])
+                        a.append(cx[i])
+                        b.append(cy[j])
         a, b = np.array(a, "i8"), np.array(b, "i8")
         return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
@@ -163,51 +182,85 @@ def _search(size: int, num: int, den: int, least: int):
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 85, den: int = 100, halves: int = HALVES, minima: int = MINIMA, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    Links are den * |intersection| >= num * |union| of sets of ``size``-word shingles.
+    Links are den * |intersection| >= num * |union| of sets of ``size``-word
+    shingles. Tables that a join reads by a hot key are written before it: a
+    join of plain exchanges is one that adaptive execution can split.
     """
+    made: list[DataFrame] = []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        made.append(common.written(df, name))
+        return made[-1]
+
     count = 2 * halves * minima
     least = _least_agreement(count, num / den)
     base = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     sketch = common.written(base.mapInArrow(_sketch(size, count), "doc_id long, n_shingles long, digest binary, sig binary"), "sketch")
     known = sketch.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    reps = common.written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
-    keys = common.written(reps.select("rep", "sig").mapInArrow(_keys(halves, minima), "key long, rep long"), "keys")
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = keys.join(buckets, "key").where(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    # Written, so that the joins below read it by a plain exchange and a pivot of many pairs can be split.
-    sigs = common.written(reps.groupBy("rep").agg(F.min("sig").alias("sig")), "sigs")
-    pairs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = common.written(pairs.mapInArrow(_agree(least), "a long, b long"), "pairs")
-    text = base.where("doc_id is not null")
-    both = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = common.written(both.mapInArrow(_confirm(size, num, den), "a long, b long"), "links")
-    links = common.written(links.unionByName(_rest(keys, reps, sigs, text, links, size, num, den, least, block)), "links")
-    # Equal ids with different sets: one node for all its classes.
-    own = known.join(reps.select("digest", "rep"), "digest").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    twice = known.groupBy("doc_id").agg(F.count_distinct("digest").alias("n")).where("n > 1")
-    comp = common.components(links.unionByName(own.join(twice, F.col("a") == F.col("doc_id"), "left_semi")))
-    comp = comp.withColumnRenamed("id", "rep").withColumnRenamed("component", "component_id")
-    part = reps.select("digest", "rep").join(comp, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    # A class has a number of its own, as one doc_id may be the smallest of several.
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    keys = written(classes.select("cls", "sig").mapInArrow(_keys(halves, minima), "key long, cls long"), "keys")
+    buckets = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(keys.join(buckets, "key"), "shared")
+    pairs = shared.where("cls <> pivot").groupBy(F.col("cls").alias("a"), F.col("pivot").alias("b")).agg((F.max("n") > 2).alias("many"))
+    sigs = classes.select("cls", "sig")
+    pairs = written(pairs, "candidates").join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
+    pairs = written(pairs.mapInArrow(_agree(least), "a long, b long, many boolean, ok boolean"), "pairs")
+    need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    need = written(need.join(classes.select("cls", "digest", F.col("rep").alias("doc_id")), "cls"), "need")
+    sets = base.join(need, "doc_id").select("cls", "digest", "text").mapInArrow(_sets(size), "cls long, shingles binary")
+    sets = written(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+    both = pairs.where("ok").select("a", "b").join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    links = written(both.mapInArrow(_confirm(num, den), "a long, b long"), "links")
+    links = links.unionByName(written(_rest(shared, classes, sets, links, num, den, least, block), "more"))
+    # An id with several classes links them: each with the smallest.
+    twice = known.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).where("lo <> hi").select("doc_id")
+    own = written(known.select("doc_id", "digest").join(twice, "doc_id").join(classes.select("digest", "cls"), "digest").select("doc_id", "cls").distinct(), "own")
+    first = written(own.groupBy("doc_id").agg(F.min("cls").alias("b")), "first")
+    comp = written(common.components(links.unionByName(own.join(first, "doc_id").select(F.col("cls").alias("a"), "b"))), "components")
+    low = comp.join(classes.select(F.col("cls").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
+    comp = comp.join(written(low, "low"), "component").select(F.col("id").alias("cls"), "component_id")
+    part = classes.select("digest", "cls", "rep").join(comp, "cls", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    part = common.written(part, "part")
+    for df in made:
+        common.forget(df)
     out = sketch.select("doc_id", "n_shingles", "digest").join(part, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _rest(keys, reps, sigs, text, links, size, num, den, least, block) -> DataFrame:
+def _rest(shared, classes, sets, links, num, den, least, block) -> DataFrame:
     """Links between classes that share a bucket of three or more but no label yet (step 4)."""
-    label = common.components(links).withColumnRenamed("id", "rep").withColumnRenamed("component", "label")
-    label = common.written(sigs.select("rep").join(label, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "labels")
-    marked = keys.join(label, "rep")
-    mixed = marked.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("pivot")).where("n > 2 and lo <> hi")
-    rows = keys.join(mixed.select("key", "pivot"), "key").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    group = common.components(rows).withColumnRenamed("id", "rep").withColumnRenamed("component", "cluster")
-    group = common.written(group.join(label, "rep").join(sigs, "rep"), "clusters")
-    sizes = group.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    label = common.components(links).withColumnRenamed("id", "cls").withColumnRenamed("component", "label")
+    busy = shared.where("n > 2")
+    label = busy.select("cls").distinct().join(label, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
+    label = common.written(label, "labels")
+    mixed = busy.join(label, "cls").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    rows = busy.join(common.written(mixed, "mixed"), "key").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
+    group = common.components(rows).withColumnRenamed("id", "cls").withColumnRenamed("component", "cluster")
+    group = common.written(group.join(label, "cls").join(classes.select("cls", "sig", "n"), "cls"), "clusters")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    sizes = common.written(group.groupBy("cluster").agg(blocks), "sizes")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("blk")).alias("i"), F.greatest(j, F.col("blk")).alias("j"), (j < F.col("blk")).cast("int").alias("side")))
-    dealt = group.join(sizes, "cluster").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(text.withColumnRenamed("doc_id", "rep").where("text is not null"), "rep").withColumn("p", F.explode(pairs))
-    dealt = dealt.select("cluster", "p.*", "rep", "label", "sig", "text")
-    return dealt.groupBy("cluster", "i", "j").applyInPandas(_search(size, num, den, least), "a long, b long")
+    dealt = group.join(sizes, "cluster").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sets, "cls").withColumn("p", F.explode(pairs)).select("cluster", "p.*", "cls", "label", "sig", "shingles")
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(_search(num, den, least), "a long, b long")
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, with their columns, that are left when one document of each group stays.
+
+    Rows without a doc_id, and one row of each doc_id without words, stay; of
+    rows with one doc_id that stays, the one with the smallest hash does.
+    """
+    groups = near_duplicates(docs, **how).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = common.written(groups, "kept")
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if kept.where("_rows > 1").limit(1).count():
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")).select("_row.*")
+    return out.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

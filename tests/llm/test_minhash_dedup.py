@@ -72,6 +72,46 @@ def test_equal_ids_and_nulls(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def linked_groups(rows):
+    """Components over rows whose equal ids are one node."""
+    sets = [(d, shingle_set(t)) for d, t in rows]
+    low = {d: d for d, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for d, s in sets:
+            for e, t in sets:
+                if (d == e or s and t and 100 * len(s & t) >= 85 * len(s | t)) and low[d] != low[e]:
+                    low[d] = low[e] = min(low[d], low[e])
+                    changed = True
+    return low
+
+
+def test_equal_ids_with_near_texts(spark):
+    """An id with two texts, and ids near to either: a link of any text holds. Forty cases in one table."""
+    rng, rows = random.Random(8), []
+    for k in range(40):
+        a, b = words(rng, 80), words(rng, 80)
+        near = lambda w: [*w[:-1], words(rng, 1)[0]]
+        ids = [100 * k + i for i in rng.sample(range(50), 4)]
+        rows += [(ids[0], " ".join(a)), (ids[0], " ".join(b)), (ids[1], " ".join(near(a))), (ids[2], " ".join(near(b))), (ids[3], " ".join(near(near(b))))]
+    rng.shuffle(rows)
+    want = linked_groups(rows)
+    out = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(out) == len(rows) and {r.doc_id: r.component_id for r in out} == want
+    assert len(set(want.values())) == 40
+
+
+def test_keep_one(spark):
+    a = "a b c d e f g h"
+    rows = [(3, a, "x"), (5, a, "x"), (3, a, "x"), (3, "other words stand here now", "y"), (7, None, "z"), (7, "", "z"), (None, a, "w"), (None, a, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rep string")
+    out = M.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 0, 3, 7]
+    assert M.keep_one(df.limit(0)).count() == 0
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
