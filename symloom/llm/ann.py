@@ -5,10 +5,17 @@ Smallest Euclidean distance is largest inner product of (q, 1) with
 codebooks are fitted on a bounded sample with the anisotropic loss, which weighs
 the residual parallel to x ``eta`` times as much as the rest: codes are assigned
 by coordinate descent under it and codewords are its weighted least-squares
-solutions. The norm part is kept as it is. Every vector is coded. Queries, in
-blocks, scan the codes, in blocks, by tables of q with each codeword; the best
-``depth`` of each query over all blocks are ranked again by exact distances of
-the original vectors.
+solutions. The norm part is kept as it is. Equal vectors are coded once, every
+vector is. Queries, in blocks, meet the codes, in ``SPANS`` spans: a task holds a
+block of queries and the best ``depth`` of each so far, while the codes of its
+span pass by in batches and are scored by tables of q with each codeword. So no
+group is held in memory, and at most ``SPANS * depth`` rows a query are shuffled.
+The best ``depth`` over all spans are ranked again by exact distances of the
+original vectors.
+
+Work is (queries x distinct vectors) table scans. ``depth`` bounds what is ranked
+again: where more than ``depth`` different vectors lie as close to a query as the
+codes can tell, some of its nearest may be missed; copies don't count there.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, as query or candidate; a query meets only vectors of
@@ -23,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +42,9 @@ SAMPLE = 10_000
 ETA = 3.0
 #: Candidates of a query that are ranked again.
 DEPTH = 200
-QUERY_BLOCK = 256
-CODE_BLOCK = 16_384
+QUERY_BLOCK = 1024
+#: Spans of the codes, and codes that are scored at once.
+SPANS, CODE_BLOCK = 16, 4096
 
 
 class Quantizer:
@@ -110,68 +119,106 @@ def _index(quant: Quantizer):
         for pdf in batches:
             x = np.stack(pdf.embedding.to_numpy()).astype(float) if len(pdf) else np.zeros((0, quant.dim))
             raw = pack_codes(quant.codes(x))
-            yield pd.DataFrame({"vec_id": pdf.vec_id, "row": pdf.row, "half": (x * x).sum(axis=1) / 2, "codes": [r.tobytes() for r in raw]})
+            yield pd.DataFrame({"row": pdf["item"], "half": (x * x).sum(axis=1) / 2, "data": [r.tobytes() for r in raw]})
 
     return run
 
 
 def _scan(quant: Quantizer, depth: int):
-    """The best rows of one block of codes for one block of queries."""
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_row": [], "row": [], "approx": []}).astype({"query_row": "int64", "row": "int64", "approx": "float64"})
-        if not len(left) or not len(right):
-            return none
-        tables = quant.tables(np.stack(left.embedding.to_numpy()).astype(float)).astype("f4")
-        code = unpack_codes(np.frombuffer(b"".join(right.codes), "u1").reshape(len(right), -1), quant.parts)
-        score = np.repeat(-right.half.to_numpy()[None].astype("f4"), len(left), axis=0)
-        for m in range(quant.parts):
-            score += tables[:, m][:, code[:, m]]
-        own, row = right.vec_id.to_numpy(), right.row.to_numpy()
-        score[left.vec_id.to_numpy()[:, None] == own[None]] = -np.inf
-        k = min(depth, len(right))
-        top = np.argpartition(-score, k - 1, axis=1)[:, :k]
-        out = pd.DataFrame({"query_row": np.repeat(left.row.to_numpy(), k), "row": row[top].ravel(), "approx": np.take_along_axis(score, top, 1).ravel().astype(float)})
-        return out[np.isfinite(out.approx)]
+    """Batches sorted by (block, span, code): a block's queries, then the codes of a span. Gives the best rows of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked, tables, best, rows = None, [], None, None, None
+
+        def done() -> pa.RecordBatch:
+            good = np.isfinite(best)
+            names = np.repeat(np.array(asked, "i8")[:, None], best.shape[1], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(names[good]), pa.array(rows[good]), pa.array(best[good].astype(float))], ["query_row", "row", "approx"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("block", "span", "code")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if tuple(keys[lo, :2]) != at:
+                    if best is not None:
+                        yield done()
+                    at, asked, held, tables, best, rows = tuple(keys[lo, :2]), [], [], None, None, None
+                part = batch.slice(lo, hi - lo)
+                if not keys[lo, 2]:
+                    asked += part.column("row").to_pylist()
+                    held += [np.frombuffer(b.as_buffer(), "f8") for b in part.column("data")]
+                    continue
+                if not asked:
+                    continue
+                if tables is None:
+                    tables = quant.tables(np.stack(held)).astype("f4")
+                    best, rows = np.full((len(asked), 0), -np.inf, "f4"), np.zeros((len(asked), 0), "i8")
+                for k in range(0, hi - lo, CODE_BLOCK):
+                    some = part.slice(k, CODE_BLOCK)
+                    code = unpack_codes(np.frombuffer(b"".join(some.column("data").to_pylist()), "u1").reshape(some.num_rows, -1), quant.parts)
+                    score = np.repeat(-some.column("half").to_numpy()[None].astype("f4"), len(asked), axis=0)
+                    for m in range(quant.parts):
+                        score += tables[:, m][:, code[:, m]]
+                    score = np.concatenate([best, score], axis=1)
+                    row = np.concatenate([rows, np.repeat(some.column("row").to_numpy()[None], len(asked), axis=0)], axis=1)
+                    if score.shape[1] > depth:
+                        top = np.argpartition(-score, depth - 1, axis=1)[:, :depth]
+                        score, row = np.take_along_axis(score, top, 1), np.take_along_axis(row, top, 1)
+                    best, rows = score, row
+        if best is not None:
+            yield done()
 
     return run
 
 
 def search(table: DataFrame, queries: DataFrame, k: int = 10, depth: int = DEPTH, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query among ``table``.
-
-    Both have vec_id and embedding. Codes (8 bytes of id and norm, 4 bits a part)
-    and queries are dealt in blocks, so a pair of blocks is one task's work; the
-    exact ranking is a join on the rows found.
-    """
-    base = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(vectors.usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    base = common.written(base.withColumn("dim", F.size("embedding")).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    asked = queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(vectors.usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    """query_id, rank, vec_id, score: the k nearest found of each query among ``table``. Both have vec_id and embedding."""
+    usable = vectors.usable(F.col("embedding")) & F.col("vec_id").isNotNull()
+    base = table.select(F.col("vec_id").cast("long"), "embedding").where(usable)
+    # Equal vectors: one item. A query needs the k + 1 smallest ids of each at most, as one may be its own.
+    items = base.groupBy("embedding").agg(F.min("vec_id").alias("_low")).select("embedding", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("item"))
+    items = common.written(items, "items")
+    named = base.distinct().join(items.select("embedding", "item"), "embedding")
+    named = named.withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy("vec_id"))).where(F.col("_r") <= k + 1).select("item", "vec_id")
+    asked = queries.select(F.col("vec_id").cast("long"), "embedding").where(usable)
     asked = common.written(asked.withColumn("dim", F.size("embedding")).withColumn("row", F.monotonically_increasing_id()), "queries")
     found = None
-    dims = [(r.dim, r.n) for r in base.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()]
+    dims = sorted(r.dim for r in items.select("dim").distinct().collect())  # a row for each length of vectors
     wants = {r.dim: r.n for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for dim, n in dims:
+    for dim in dims:
         if dim not in wants:
             continue
-        own, ask = base.where(F.col("dim") == dim), asked.where(F.col("dim") == dim)
-        quant = fit(vectors.sample(own, "vec_id", "embedding", sample), width=2 if dim >= 16 else 1)
-        code = common.written(own.select("vec_id", "row", "embedding").mapInPandas(_index(quant), "vec_id long, row long, half double, codes binary"), "codes")
-        across, down = -(-n // CODE_BLOCK), -(-wants[dim] // QUERY_BLOCK)
-        q = ask.withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(down)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-        c = code.withColumn("cb", F.pmod(F.xxhash64("row"), F.lit(across)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-        got = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(_scan(quant, max(depth, k)), "query_row long, row long, approx double")
+        own, ask = items.where(F.col("dim") == dim), asked.where(F.col("dim") == dim)
+        quant = fit(vectors.sample(own, "embedding", sample))
+        code = common.written(own.select("item", "embedding").mapInPandas(_index(quant), "row long, half double, data binary"), "codes")
+        down = -(-wants[dim] // QUERY_BLOCK)
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        raw = ask.select("row", F.col("embedding").cast("array<double>").alias("x")).mapInPandas(_bytes, "row long, data binary")
+        q = raw.select(F.pmod(F.xxhash64("row"), F.lit(down)).cast("int").alias("block"), every(SPANS).alias("span"), F.lit(0).alias("code"), "row", F.lit(0.0).alias("half"), "data")
+        c = code.select(every(down).alias("block"), F.pmod(F.xxhash64("row"), F.lit(SPANS)).cast("int").alias("span"), F.lit(1).alias("code"), "row", "half", "data")
+        parts = max(1, min(down * SPANS, 16 * common.width(table.sparkSession)))
+        both = q.unionByName(c).repartition(parts, "block", "span").sortWithinPartitions("block", "span", "code")
+        got = both.mapInArrow(_scan(quant, max(depth, k)), "query_row long, row long, approx double")
         best = Window.partitionBy("query_row").orderBy(F.desc("approx"), "row")
-        got = got.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max(depth, k)).select("query_row", "row")
+        got = got.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max(depth, k)).select("query_row", F.col("row").alias("item"))
         found = got if found is None else found.unionByName(got)
     if found is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     q = asked.select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), F.col("embedding").alias("q"))
-    pairs = found.join(q, "query_row").join(base.select("vec_id", "row", "embedding"), "row")
-    square = F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    pairs = pairs.select("query_id", "query_row", "vec_id", F.sqrt(square).alias("score"))
-    order = Window.partitionBy("query_row").orderBy("score", "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = found.join(q, "query_row").join(items.select("item", "embedding"), "item")
+    apart = F.zip_with(F.col("q").cast("array<double>"), F.col("embedding").cast("array<double>"), lambda a, b: (a - b) * (a - b))
+    pairs = pairs.select("query_id", "query_row", "item", F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, v: s + v)).alias("score"))
+    near = pairs.withColumn("_r", F.rank().over(Window.partitionBy("query_row").orderBy("score"))).where(F.col("_r") <= k + 1).drop("_r")
+    near = near.join(named, "item").where(F.col("vec_id") != F.col("query_id"))
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id", "item")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"row": pdf["row"], "data": [np.asarray(x, "f8").tobytes() for x in pdf.x]})
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,29 +42,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _cells(centroids: np.ndarray, reach: float, block: int):
-    """Rows (item, cell, home, blk, x) for each cell that an item belongs to or visits."""
-    far = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T)) if len(centroids) else None
+def _cells(centroids: dict[int, np.ndarray], reach: float, rows: int = 512):
+    """Rows (item, cell, visits) for each cell that an item belongs to or visits; centroids by length of the vectors."""
 
     def run(batches):
         for pdf in batches:
-            for dim, own in pdf.groupby(pdf.embedding.map(len)):
-                x = np.stack(own.embedding.to_numpy()).astype(float)
-                if far is not None and dim == centroids.shape[1]:
-                    s = _unit(x) @ centroids.T
+            for dim, of in pdf.groupby(pdf.embedding.map(len)):
+                c = centroids[dim]
+                for k in range(0, len(of), rows):
+                    own = of.iloc[k : k + rows]
+                    s = _unit(np.stack(own.embedding.to_numpy()).astype(float)) @ c.T
                     home = s.argmax(axis=1)
-                    gap = s[np.arange(len(s)), home][:, None] - s
-                    ok = (gap <= reach * far[home] + 1e-9) & (np.arange(len(centroids)) <= home[:, None])
+                    each = np.arange(len(s))
+                    far = np.sqrt(np.maximum(0, 2 - 2 * c[home] @ c.T))
+                    row, cell = np.nonzero((s[each, home][:, None] - s <= reach * far + 1e-9) & (np.arange(len(c)) <= home[:, None]))
                     near = np.argpartition(-s, min(WITNESSES, s.shape[1]) - 1, axis=1)[:, :WITNESSES]
                     for w in near.T:
-                        ok &= s[np.arange(len(s)), w][:, None] - s <= reach * far[w] + 1e-9
-                    row, cell = np.nonzero(ok)
-                    home = home[row]
-                else:
-                    row, cell = np.arange(len(x)), np.zeros(len(x), int)
-                    home = cell
-                out = own.iloc[row].reset_index(drop=True)
-                yield pd.DataFrame({"label": out.label, "dim": dim, "cell": cell, "visits": cell != home, "item": out.item, "n": out.n, "embedding": out.embedding})
+                        w = w[row]
+                        apart = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("nd,nd->n", c[w], c[cell])))
+                        ok = (s[row, w] - s[row, cell] <= reach * apart + 1e-9) | (cell == home[row])
+                        row, cell = row[ok], cell[ok]
+                    out = own.iloc[row].reset_index(drop=True)
+                    yield pd.DataFrame({"label": out.label, "dim": dim, "cell": cell, "visits": cell != home[row], "item": out["item"], "n": out.n, "embedding": out.embedding})
 
     return run
 
@@ -119,10 +118,12 @@ def _compare(least: float):
 def near_duplicates(rows: DataFrame, least: float = 0.98, cells: int | None = None, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``rows`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
-    cells: number of centroids; by default the square root of the number of
-    distinct vectors over 4, from 1 to 4096.
+    cells: number of centroids for each length of vectors; by default the square
+    root of the number of distinct vectors over 4, up to 65,536, fitted on
+    ``sample`` vectors or five a cell. They are shipped in the type they have.
     """
-    base = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("string"))
+    kind = "array<float>" if rows.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    base = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind), F.col("label").cast("string"))
     good = base.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & vectors.usable(F.col("embedding")))
     # Equal vectors of a label: one item, named by its smallest vec_id.
     items = common.written(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("item"), F.count_distinct("vec_id").alias("n")).withColumn("digest", F.xxhash64("label", "embedding")), "items")
@@ -130,12 +131,13 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, cells: int | None = No
     named, twice = items, good.groupBy("vec_id").count().where("count > 1").limit(1).count() > 0
     if twice:
         named = common.ranked(named.drop("item"), "digest", name="numbered").withColumnRenamed("_pos", "item")
-    x = vectors.sample(named, "digest", "embedding", sample) if not _ragged(named) else np.zeros((0, 0))
-    count = named.count()
-    k = cells or int(min(4096, max(1, (count / 4) ** 0.5)))
-    centroids = vectors.spherical_kmeans(_unit(x), k) if len(x) else np.zeros((0, 0))
+    centroids = {}
+    for r in named.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each length of vectors
+        k = cells or int(min(1 << 16, max(1, (r.n / 4) ** 0.5)))
+        x = vectors.sample(named.where(F.size("embedding") == r.dim), "embedding", max(sample, 5 * k))
+        centroids[r.dim] = vectors.spherical_kmeans(_unit(x), k)
     reach = float(np.sqrt(2 - 2 * least))
-    spread = named.select("label", "embedding", "item", "n").mapInPandas(_cells(centroids, reach, block), "label string, dim int, cell int, visits boolean, item long, n long, embedding array<double>")
+    spread = named.select("label", "embedding", "item", "n").mapInPandas(_cells(centroids, reach), f"label string, dim int, cell int, visits boolean, item long, n long, embedding {kind}")
     spread = common.written(spread, "cells")
     in_blocks = lambda test: F.ceil(F.count_if(test) / block).cast("int")
     sizes = spread.groupBy("label", "dim", "cell").agg(in_blocks(~F.col("visits")).alias("homes"), in_blocks(F.col("visits")).alias("guests")).where("homes > 0")
@@ -168,13 +170,6 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, cells: int | None = No
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _ragged(items: DataFrame) -> bool:
-    """True when vectors differ in length; cells are then the lengths alone."""
-    r = items.agg(F.min(F.size("embedding")).alias("a"), F.max(F.size("embedding")).alias("b")).first()
-    return r.a != r.b
-
-
 def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``embeddings``, links at a cosine of 0.98 and more."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-

@@ -14,15 +14,23 @@ def usable(col: Column) -> Column:
     return F.coalesce(col.isNotNull() & ~bad & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def sample(df: DataFrame, key: str, col: str, most: int, seed: int = 7) -> np.ndarray:
-    """About ``most`` vectors at most, chosen by a hash of the key, in a fixed order."""
+def sample(df: DataFrame, col: str, most: int, seed: int = 7) -> np.ndarray:
+    """``most`` vectors at most: those whose content has the smallest hash, each distinct one once, in a fixed order.
+
+    Equal vectors are one, whatever their ids, so a hot group of copies neither
+    fills the sample nor leaves it empty. A range of hashes that should hold
+    ``most`` is tried first; only where copies leave it too thin, the smallest of
+    all hashes are taken.
+    """
+    hashed = df.select(F.xxhash64(F.lit(seed), col).alias("_h"), F.col(col).alias("_x"))
     n = df.count()
-    if not n:
-        return np.zeros((0, 0))
-    share = min(1.0, most / n)
-    span = 1 << 30
-    pick = df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(span)) < F.lit(int(share * span)))
-    rows = sorted(((r[0], r[1]) for r in pick.select(key, col).collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
+    if n > most:
+        span = 1 << 30
+        few = hashed.where(F.pmod("_h", F.lit(span)) < F.lit(int(2 * most / n * span)))
+        rows = few.distinct().orderBy("_h", "_x").limit(most).collect()
+        if len(rows) >= min(most, 100):
+            return np.array([r[1] for r in rows], float)
+    rows = hashed.distinct().orderBy("_h", "_x").limit(most).collect()
     return np.array([r[1] for r in rows], float) if rows else np.zeros((0, 0))
 
 
@@ -33,8 +41,9 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7) ->
     if len(x) <= k:
         return x
     c = x[np.sort(rng.choice(len(x), k, replace=False))]
+    step = max(1, (1 << 22) // k)  # rows whose products with all centroids are held at once
     for _ in range(rounds):
-        own = np.argmax(x @ c.T, axis=1)
+        own = np.concatenate([np.argmax(x[i : i + step] @ c.T, axis=1) for i in range(0, len(x), step)])
         total = np.zeros_like(c)
         np.add.at(total, own, x)
         norm = np.linalg.norm(total, axis=1)

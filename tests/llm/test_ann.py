@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from symloom.llm import ann
 
@@ -39,6 +40,30 @@ def test_recall(spark):
     assert all(abs(exact[i, j] - s) < 1e-12 for i, near in have.items() for s, j in near)
 
 
+def test_equal_ids_and_copies(spark):
+    """One id in nearly all rows, and more copies of a vector than are ranked again: nothing is lost, whatever the sample."""
+    rows = [(100, [1.0, 0.0, float(i)]) for i in range(1, 51)] + [(200, [0.0, 1.0, 0.5])] + [(i, [0.0, 1.0, 1.0]) for i in range(1001, 1060)] + [(7, [0.0, 1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = sorted((float(np.sqrt(((np.array([0.0, 1.0, 0.5]) - np.array(y)) ** 2).sum())), j) for j, y in rows if j != 200)
+    for sample in (10, 5, 2, 1):
+        have = got(ann.search(df, df.where("vec_id = 200"), depth=20, sample=sample))
+        assert have[200] == near[:10]
+
+
+def test_recall_on_many_vectors(spark):
+    """50,000 vectors in groups, recall of 10 at the production depth by brute force; and no more rows a query than spans allow."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(500, 32))[rng.integers(500, size=50_000)] + 0.4 * rng.normal(size=(50_000, 32))).astype("f4")
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": pa.array(list(x))})).repartition(8)
+    have = got(ann.search(table, table.where("vec_id % 500 = 0")))
+    hit = 0
+    for i in range(0, 50_000, 500):
+        d = np.sqrt(((x.astype(float) - x[i].astype(float)) ** 2).sum(axis=1))
+        d[i] = np.inf
+        hit += len({j for _, j in have[i]} & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.95 * 1000
+
+
 def test_anisotropic_codes_lose_less_along_the_vector():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 16))

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from symloom.llm import vector_dedup as V
@@ -49,6 +50,24 @@ def test_equal_ids_join_their_vectors(spark):
     assert {(r.vec_id, r.component_id) for r in out} == {(1, 1), (2, 1), (3, 1)} and len(out) == 4
 
 
+def test_lengths_have_cells_of_their_own(spark):
+    """Vectors of other lengths change neither the cells of the first nor its links."""
+    rng, rows = np.random.default_rng(9), []
+    for i in range(240):
+        dim = 6 if i % 8 else 9
+        base = np.random.default_rng(i // 16).normal(size=dim)
+        rows.append((i, [float(v) for v in np.float32(base + rng.normal(size=dim) * 0.1)], 1))
+    want = brute(rows)
+    for elem in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{elem}>, label int")
+        assert got(V.near_duplicates(df, cells=5, block=16)) == want
+    x = np.stack([r[1] for r in rows if len(r[1]) == 6])
+    of = {d: V.vectors.spherical_kmeans(V._unit(np.stack([r[1] for r in rows if len(r[1]) == d])), 5) for d in (6, 9)}
+    pdf = pd.DataFrame({"label": "1", "embedding": [np.array(r[1]) for r in rows], "item": range(240), "n": 1})
+    out = pd.concat(V._cells(of, float(np.sqrt(2 - 2 * 0.98)))(iter([pdf])))
+    assert out[out.dim == 6].cell.nunique() > 1 and out[out.dim == 9].cell.nunique() > 1 and len(x) == 210
+
+
 @pytest.mark.parametrize("block", [4, 512])
 def test_clusters_over_cells(spark, block):
     rng = np.random.default_rng(5)
