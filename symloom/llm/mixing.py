@@ -5,22 +5,27 @@ Every document belongs to a cell (source, language, topic) and weighs its tokens
 over hashed word counts, fitted on a bounded sample and assigned to every text.
 Target marginals flatten the corpus: the share of a value is its share of tokens
 to the power alpha, normalised; no value can get more tokens than it has, and
-what it can't take goes to the others. Raking scales the inclusion probabilities
-of cells to one marginal after the other, none above 1, until all three hold.
-A document is drawn where a hash of its doc_id, uniform in 0 to 1, is below the
-probability of its cell, so a draw can be repeated anywhere.
+what it can't take goes to the others. Or the weights of values are given
+(``weights``): values that are not named then get nothing, and weights that the
+corpus can't meet are an error. Raking scales the inclusion probabilities
+of cells to one marginal after the other, none above 1, until all three hold; a
+warning says so where they don't after ``ROUNDS``. A document is drawn where a
+hash of its doc_id, uniform in 0 to 1, is below the probability of its cell, so
+a draw can be repeated anywhere.
 
 Cells are counted over all documents. Up to ``small`` cells are raked on the
-driver (that many rows at most); beyond, the same steps run as joins of tables.
+driver (that many rows at most); beyond, the same steps, as many and as near,
+run as joins of tables.
 
 Defined cases: a null source or language is a value of its own; a null or empty
 text has no tokens and is drawn with the probability of its cell; rows with
-equal doc_id are drawn alike; an empty table gives no rows; columns that clash
+equal doc_id are drawn alike, those without one by their source, language and text; an empty table gives no rows; columns that clash
 with internal names are kept.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +37,7 @@ from symloom.llm import common
 from symloom.llm.shingles import _words
 from symloom.llm.vectors import spherical_kmeans
 
-#: Documents at most, in expectation, that topics are fitted on.
+#: Documents at most, of different texts, that topics are fitted on.
 SAMPLE = 4000
 TOPICS = 8
 BUCKETS = 256
@@ -40,6 +45,8 @@ ALPHA = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 #: Share of all tokens that is drawn, in expectation.
 KEEP = 0.8
 SMALL = 200_000
+ROUNDS, NEAR = 300, 1e-6
+Weights = dict[str, dict[str | None, float]]
 DIMS = ("source", "lang", "topic")
 _BITS = 1 << 52
 
@@ -55,7 +62,9 @@ def word_vector(text: bytes | None) -> np.ndarray:
 def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """(mean, centroids) of word vectors of a bounded sample."""
     n = max(1, docs.count())
-    pick = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / n) * (1 << 30)))).select("text")
+    # By content: copies of a text are one.
+    pick = docs.select(F.xxhash64(F.lit(3), "text").alias("_h"), "text")
+    pick = pick.where(F.pmod("_h", F.lit(1 << 30)) < F.lit(int(min(1.0, sample / n) * (1 << 30)))).dropDuplicates(["_h"]).orderBy("_h").limit(sample).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,22 +99,39 @@ def _value(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
 
-def targets(tokens: dict, alpha: float, keep: float) -> dict:
-    """Tokens to draw of each value: keep of the total, flattened by alpha, none above what there is."""
-    total, out, free = sum(tokens.values()) * keep, {}, {k: t for k, t in tokens.items() if t > 0}
+def targets(tokens: dict, alpha: float, keep: float, weight: dict | None = None) -> dict:
+    """Tokens to draw of each value: keep of the total, flattened by alpha or dealt by weight, none above what there is."""
+    total = sum(tokens.values()) * keep
+    weight = {k: t**alpha for k, t in tokens.items()} if weight is None else weight
+    out, free = {}, {k: t for k, t in tokens.items() if t > 0 and weight.get(k, 0) > 0}
     rest = total
     while free:
-        weight = sum(t**alpha for t in free.values())
-        full = {k for k, t in free.items() if rest * t**alpha / weight >= t}
+        all_of = sum(weight[k] for k in free)
+        full = {k for k, t in free.items() if rest * weight[k] / all_of >= t}
         if not full:
-            return out | {k: rest * t**alpha / weight for k, t in free.items()}
+            return out | {k: rest * weight[k] / all_of for k in free}
         for k in full:
             out[k] = free.pop(k)
             rest -= out[k]
+    _feasible(rest, total)
     return out
 
 
-def rake(cells: list[tuple], keep: float = KEEP, alpha: dict[str, float] = ALPHA, rounds: int = 300, near: float = 1e-6) -> list[float]:
+def _feasible(rest: float, total: float) -> None:
+    if rest > 1e-6 * max(1.0, total):
+        raise ValueError(f"the values with a weight have {total - rest:.0f} tokens, {total:.0f} are wanted")
+
+
+def _said(worst: float, near: float) -> None:
+    if worst >= near:
+        warnings.warn(f"raking stopped at a gap of {worst:.2g} of a marginal; {near:.2g} was wanted", stacklevel=3)
+
+
+def _named(weights: Weights, name: str) -> dict[str, float]:
+    return {"null" if k is None else f"={k}" if name != "topic" else str(k): float(w) for k, w in weights[name].items()}
+
+
+def rake(cells: list[tuple], keep: float = KEEP, alpha: dict[str, float] = ALPHA, weights: Weights | None = None, rounds: int = ROUNDS, near: float = NEAR) -> list[float]:
     """Probabilities of cells (source, lang, topic, tokens), on the driver."""
     t = np.array([c[3] for c in cells], float)
     p = np.full(len(cells), keep)
@@ -113,8 +139,11 @@ def rake(cells: list[tuple], keep: float = KEEP, alpha: dict[str, float] = ALPHA
     for d, name in enumerate(DIMS):
         values, own = np.unique(np.array([str(c[d]) for c in cells], object).astype(str), return_inverse=True)
         sums = np.bincount(own, t, len(values))
-        want = targets(dict(enumerate(sums.tolist())), alpha[name], keep)
+        given = _named(weights, name) if weights and name in weights else None
+        weight = None if given is None else {i: given.get(str(v), 0.0) for i, v in enumerate(values)}
+        want = targets(dict(enumerate(sums.tolist())), alpha[name], keep, weight)
         sides.append((own, np.array([want.get(i, 0.0) for i in range(len(values))])))
+    worst = 0.0
     for _ in range(rounds):
         worst = 0.0
         for own, want in sides:
@@ -124,27 +153,36 @@ def rake(cells: list[tuple], keep: float = KEEP, alpha: dict[str, float] = ALPHA
             p = np.minimum(1.0, p * factor[own])
         if worst < near:
             break
+    _said(worst, near)
     return p.tolist()
 
 
-def rake_tables(cells: DataFrame, keep: float = KEEP, alpha: dict[str, float] = ALPHA, rounds: int = 30, near: float = 1e-4) -> DataFrame:
+def rake_tables(cells: DataFrame, keep: float = KEEP, alpha: dict[str, float] = ALPHA, weights: Weights | None = None, rounds: int = ROUNDS, near: float = NEAR) -> DataFrame:
     """The same for cells of any number: a table with p; each round is three sums and joins, written."""
     cur = common.written(cells.withColumn("p", F.lit(keep)), "cells")
     sides = []
     for name in DIMS:
         sums = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("have")).where("have > 0")
-        want = sums.withColumn("want", F.lit(None).cast("double"))
+        total = keep * (sums.agg(F.sum("have")).first()[0] or 0.0)
+        if weights and name in weights:
+            given = cells.sparkSession.createDataFrame(list(_named(weights, name).items()) or [("", 0.0)], "_v string, _w double")
+            sums = sums.join(F.broadcast(given), F.col(name).cast("string") == F.col("_v"), "left").withColumn("_w", F.coalesce("_w", F.lit(0.0))).drop("_v")  # given by the caller, so held already
+        else:
+            sums = sums.withColumn("_w", F.pow("have", F.lit(alpha[name])))
+        want = sums.withColumn("want", F.when(F.col("_w") <= 0, F.lit(0.0)))
         while True:  # as in targets(); each pass fills at least one value
-            r = want.agg(F.sum(F.when(F.col("want").isNull(), F.pow("have", F.lit(alpha[name])))).alias("w"), (keep * F.sum("have") - F.coalesce(F.sum("want"), F.lit(0.0))).alias("rest")).first()
+            r = want.agg(F.sum(F.when(F.col("want").isNull(), F.col("_w"))).alias("w"), (F.lit(total) - F.coalesce(F.sum("want"), F.lit(0.0))).alias("rest")).first()
             if r.w is None:
+                _feasible(r.rest or 0.0, total)
                 break
-            give = F.lit(r.rest) * F.pow("have", F.lit(alpha[name])) / F.lit(r.w)
+            give = F.lit(r.rest) * F.col("_w") / F.lit(r.w)
             full = F.col("want").isNull() & (give >= F.col("have"))
             if not want.where(full).limit(1).count():
                 want = want.withColumn("want", F.coalesce("want", give))
                 break
             want = common.written(want.withColumn("want", F.when(full, F.col("have")).otherwise(F.col("want"))), "want")
         sides.append(common.written(want.select(name, "want"), "want"))
+    worst = 0.0
     for _ in range(rounds):
         worst = 0.0
         for name, want in zip(DIMS, sides):
@@ -155,58 +193,61 @@ def rake_tables(cells: DataFrame, keep: float = KEEP, alpha: dict[str, float] =
             factor = F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(F.lit(1.0))
             new = common.written(cur.join(have, name).withColumn("p", F.least(F.lit(1.0), F.col("p") * factor)).drop("want", "have"), "cells")
             common.forget(cur)
+            common.forget(have)
             cur = new
         if worst < near:
             break
+    _said(worst, near)
     return cur
 
 
-def probabilities(cells: DataFrame, keep: float = KEEP, alpha: dict[str, float] = ALPHA, small: int = SMALL) -> tuple[DataFrame, bool]:
+def probabilities(cells: DataFrame, keep: float = KEEP, alpha: dict[str, float] = ALPHA, small: int = SMALL, weights: Weights | None = None) -> tuple[DataFrame, bool]:
     """cells (source, lang, topic, tokens) with p, and whether they are few enough to broadcast."""
     cells = common.written(cells, "cells")
     if cells.count() > small:
-        return rake_tables(cells, keep, alpha), False
+        return rake_tables(cells, keep, alpha, weights), False
     rows = sorted(map(tuple, cells.select(*DIMS, "tokens").collect()))
-    done = [(*r, float(p)) for r, p in zip(rows, rake(rows, keep, alpha))]
+    done = [(*r, float(p)) for r, p in zip(rows, rake(rows, keep, alpha, weights))]
     return cells.sparkSession.createDataFrame(done, "source string, lang string, topic int, tokens long, p double"), True
 
 
-def draw(seed: int, doc_id: Column) -> Column:
-    """Uniform in 0 to 1, the same for equal ids."""
-    return F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(_BITS)) / F.lit(float(_BITS))
+def draw(seed: int, row: str = "") -> Column:
+    """Uniform in 0 to 1, the same for equal ids, or for equal rows without an id; row: a struct that holds the columns."""
+    c = lambda name: F.col(f"{row}.{name}" if row else name)
+    own = F.when(c("doc_id").isNotNull(), F.xxhash64(F.lit(seed), c("doc_id"))).otherwise(F.xxhash64(F.lit(seed), c("source"), c("lang"), c("text")))
+    return F.pmod(own, F.lit(_BITS)) / F.lit(float(_BITS))
 
 
-def _mixed(rows: DataFrame, tokens: Column, keep: float, alpha: dict[str, float], seed: int, small: int) -> DataFrame:
-    """rows (_row, _topic) with _p and _u."""
-    at = rows.withColumns({"source": _value(F.col("_row.source")), "lang": _value(F.col("_row.lang")), "topic": F.col("_topic"), "_tokens": tokens})
-    cells = at.groupBy(*DIMS).agg(F.sum("_tokens").cast("long").alias("tokens"))
-    p, few = probabilities(cells, keep, alpha, small)
-    p = p.select(*DIMS, F.col("p").alias("_p"))
-    return at.join(F.broadcast(p) if few else p, list(DIMS)).withColumn("_u", draw(seed, F.col("_row.doc_id")))
+def _at(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"source": _value(F.col("_row.source")), "lang": _value(F.col("_row.lang")), "topic": F.col("_topic")})
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*DIMS).agg(F.sum("_row.tokens").cast("long").alias("tokens"))
 
 
 def _tokens(text: Column) -> Column:
     return F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("long")
 
 
-def weigh(docs: DataFrame, keep: float = KEEP, alpha: dict[str, float] = ALPHA, seed: int = 42, small: int = SMALL) -> DataFrame:
+def weigh(docs: DataFrame, keep: float = KEEP, alpha: dict[str, float] = ALPHA, seed: int = 42, small: int = SMALL, weights: Weights | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability, drawn for each row of docs."""
-    docs = docs.select("doc_id", "source", "lang", "text", _tokens(F.col("text")).alias("tokens"))
-    rows = common.written(with_topic(docs, fit_topics(docs), ["doc_id", "source", "lang", "tokens"]), "topics")
-    out = _mixed(rows, F.col("_row.tokens"), keep, alpha, seed, small)
-    return out.select("_row.doc_id", "_row.source", "_row.lang", F.col("_topic").alias("topic"), "_row.tokens", F.col("_p").alias("probability"), (F.col("_u") < F.col("_p")).alias("drawn"))
+    docs = docs.select("doc_id", "source", "lang", "text", _tokens(F.col("text")).alias("tokens"), draw(seed).alias("u"))
+    rows = _at(common.written(with_topic(docs, fit_topics(docs), ["doc_id", "source", "lang", "tokens", "u"]), "topics"))
+    p, few = probabilities(_sums(rows), keep, alpha, small, weights)
+    p = p.select(*DIMS, F.col("p").alias("_p"))
+    out = rows.join(F.broadcast(p) if few else p, list(DIMS))
+    return out.select("_row.doc_id", "_row.source", "_row.lang", F.col("_topic").alias("topic"), "_row.tokens", F.col("_p").alias("probability"), (F.col("_row.u") < F.col("_p")).alias("drawn"))
 
 
-def sample(docs: DataFrame, keep: float = KEEP, alpha: dict[str, float] = ALPHA, seed: int = 42, small: int = SMALL) -> DataFrame:
+def sample(docs: DataFrame, keep: float = KEEP, alpha: dict[str, float] = ALPHA, seed: int = 42, small: int = SMALL, weights: Weights | None = None) -> DataFrame:
     """The rows of docs that are drawn, with their columns. Topics are found twice, so that no text is shuffled or written."""
     cols, model = docs.columns, fit_topics(docs)
-    slim = docs.select("doc_id", "source", "lang", "text", _tokens(F.col("text")).alias("tokens"))
-    rows = with_topic(slim, model, ["doc_id", "source", "lang", "tokens"])
-    cells = rows.select(_value(F.col("_row.source")).alias("source"), _value(F.col("_row.lang")).alias("lang"), F.col("_topic").alias("topic"), F.col("_row.tokens").alias("tokens"))
-    p, few = probabilities(cells.groupBy(*DIMS).agg(F.sum("tokens").cast("long").alias("tokens")), keep, alpha, small)
+    slim = docs.select("source", "lang", "text", _tokens(F.col("text")).alias("tokens"))
+    p, few = probabilities(_sums(_at(with_topic(slim, model, ["source", "lang", "tokens"]))), keep, alpha, small, weights)
     p = p.select(*DIMS, F.col("p").alias("_p"))
-    full = with_topic(docs, model, cols).withColumns({"source": _value(F.col("_row.source")), "lang": _value(F.col("_row.lang")), "topic": F.col("_topic")})
-    full = full.join(F.broadcast(p) if few else p, list(DIMS)).where(draw(seed, F.col("_row.doc_id")) < F.col("_p"))
+    full = _at(with_topic(docs, model, cols))
+    full = full.join(F.broadcast(p) if few else p, list(DIMS)).where(draw(seed, "_row") < F.col("_p"))
     return full.select(*[F.col(f"_row.`{c}`").alias(c) for c in cols])
 
 

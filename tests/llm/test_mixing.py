@@ -62,6 +62,37 @@ def test_draws(spark):
     assert all(len(v) == 1 for v in p.values())
 
 
+def test_given_marginals_are_met(spark):
+    """Weights of the caller, on the driver and by tables alike; what the corpus can't give is an error."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = {r.source: r.n for r in docs.selectExpr("source", "ceil(octet_length(coalesce(text, '')) / 4) as t").groupBy("source").agg({"t": "sum"}).toDF("source", "n").collect()}
+    names = sorted(own)
+    weights = {"source": {v: own[v] * (1.1 if k else 0.9) for k, v in enumerate(names)}}
+    out = M.weigh(docs, keep=0.4, alpha=dict.fromkeys(M.DIMS, 1.0), weights=weights).collect()
+    have = defaultdict(float)
+    for r in out:
+        have[r.source] += r.tokens * r.probability
+    whole, parts = sum(have.values()), sum(weights["source"].values())
+    assert {k: v / whole for k, v in have.items()} == pytest.approx({k: w / parts for k, w in weights["source"].items()}, rel=1e-3)
+    assert whole == pytest.approx(0.4 * sum(own.values()), rel=1e-3)
+    df = spark.createDataFrame(cells(), "source string, lang string, topic int, tokens long")
+    given = {"source": {"a": 5.0, "b": 2.0, None: 1.0}}
+    by = {(r.source, r.lang, r.topic): r.p for r in M.rake_tables(df, keep=0.1, weights=given, rounds=2).collect()}
+    assert by == pytest.approx({r[:3]: p for r, p in zip(cells(), M.rake(cells(), keep=0.1, weights=given, rounds=2))}, rel=1e-6)
+    with pytest.raises(ValueError):
+        M.weigh(docs, weights={"source": {names[0]: 1.0}})
+    with pytest.warns(UserWarning):
+        M.rake(cells(), rounds=1)
+
+
+def test_rows_without_an_id_draw_by_content(spark):
+    rows = [(None, f"text {k}", "en", "s") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert 0.75 < M.sample(docs, keep=0.8).count() / 3000 < 0.85
+    out = M.weigh(docs, keep=0.8)
+    assert out.where("drawn").count() == M.sample(docs, keep=0.8).count()
+
+
 def test_edges(spark):
     rows = [(1, None, None, None, 1), (2, "", "en", None, 2), (2, "a b", None, "s", 3), (None, "a", "en", "s", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic long")
