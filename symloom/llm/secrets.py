@@ -49,20 +49,47 @@ PATH = r"^//|=//|/[A-Za-z]+/[A-Za-z]+/"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+#: Entries of an array that are folded together; the folds of blocks are then folded, so no long array grows step by step.
+FOLD = 64
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once for a row, also where it stands inside of a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _fold(items: Column, total, join, out, kind: str) -> Column:
+    """array<kind>: out(state, x) for each x of items, state the running value of all entries before.
+
+    total(x) is an integer of one entry, and join(state, total) the next state,
+    from 0: sums and maxima. Blocks of FOLD entries keep it near linear.
+    """
+    numbers = F.expr("cast(array() as array<int>)")
+
+    def body(z: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / FOLD).cast("int"))
+        part = lambda b: F.slice(z, b * FOLD + 1, FOLD)
+        sums = F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0), lambda a, x: join(a, total(x))))
+        zero = F.struct(F.lit(0).alias("pos"), numbers.alias("out"))
+        starts = F.aggregate(sums, zero, lambda a, x: F.struct(join(a["pos"], x).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")), lambda a: a["out"])
+        none = F.expr(f"cast(array() as array<{kind}>)")
+
+        def run(begin: Column) -> Column:
+            step = lambda a, x: F.struct(join(a["pos"], total(x)).alias("pos"), F.concat(a["out"], F.array(out(a["pos"], x))).alias("out"))
+            return F.flatten(F.transform(blocks, lambda b: F.aggregate(part(b), F.struct(F.get(begin, b).alias("pos"), none.alias("out")), step, lambda a: a["out"])))
+
+        return F.when(F.size(z) > 0, _let(starts, run)).otherwise(none)
+
+    return _let(items, body)
+
+
 def _runs(text: Column, pattern: str, found: Column) -> Column:
     """array<struct<start, end, s>> of the matches ``found`` of pattern."""
-    gaps = F.split(text, pattern, -1)
+    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), m.alias("s")))
+    pairs = F.filter(pairs, lambda x: x["s"].isNotNull())  # the text after the last match
+    span = lambda pos, x: F.struct((pos + x["gap"]).alias("start"), (pos + x["gap"] + x["n"]).alias("end"), x["s"].alias("s"))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,s:string>>)")
-    start = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        at = acc["pos"] + F.length(F.get(gaps, i))
-        s = F.get(found, i)
-        to = at + F.length(s)
-        return F.struct(to.alias("pos"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), to.alias("end"), s.alias("s")))).alias("out"))
-
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(empty)
+    return F.when(F.size(found) > 0, _fold(pairs, lambda x: x["gap"] + x["n"], lambda a, n: a + n, span, "struct<start:int,end:int,s:string>")).otherwise(empty)
 
 
 def _spans(runs: Column, kind: int) -> Column:
@@ -76,7 +103,6 @@ def _weight(c: Column) -> Column:
 
 def high_windows(s: Column, bits: Column) -> Column:
     """struct<first, last>: starts of the first and last window of s with at least ``bits`` of entropy, -1 for none."""
-    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     log = F.log2(F.lit(float(WINDOW)))
     zero = F.struct(
         F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
@@ -85,25 +111,30 @@ def high_windows(s: Column, bits: Column) -> Column:
         F.lit(-1).alias("last"),
     )
 
-    def step(acc: Column, i: Column) -> Column:
-        come = F.get(codes, i)
-        go = F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(-1))
-        same = come == go
-        up, down = F.get(acc["counts"], come), F.get(acc["counts"], F.greatest(go, F.lit(0)))
-        total = F.when(same, acc["sum"]).otherwise(
-            acc["sum"] + _weight(up + 1) - _weight(up) + F.when(go >= 0, _weight(down - 1) - _weight(down)).otherwise(F.lit(0.0))
-        )
-        counts = F.when(same, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, k: c + (k == come).cast("int") - (k == go).cast("int")))
-        high = (i >= WINDOW - 1) & (log - total / WINDOW >= bits)
-        at = i - (WINDOW - 1)
-        return F.struct(
-            counts.alias("counts"),
-            total.alias("sum"),
-            F.when(high & (acc["first"] < 0), at).otherwise(acc["first"]).alias("first"),
-            F.when(high, at).otherwise(acc["last"]).alias("last"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    def step(codes: Column):
+        def run(acc: Column, i: Column) -> Column:
+            come = F.get(codes, i)
+            go = F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(-1))
+            same = come == go
+            up, down = F.get(acc["counts"], come), F.get(acc["counts"], F.greatest(go, F.lit(0)))
+            total = F.when(same, acc["sum"]).otherwise(
+                acc["sum"] + _weight(up + 1) - _weight(up) + F.when(go >= 0, _weight(down - 1) - _weight(down)).otherwise(F.lit(0.0))
+            )
+            counts = F.when(same, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, k: c + (k == come).cast("int") - (k == go).cast("int")))
+            high = (i >= WINDOW - 1) & (log - total / WINDOW >= bits)
+            at = i - (WINDOW - 1)
+            return F.struct(
+                counts.alias("counts"),
+                total.alias("sum"),
+                F.when(high & (acc["first"] < 0), at).otherwise(acc["first"]).alias("first"),
+                F.when(high, at).otherwise(acc["last"]).alias("last"),
+            )
+
+        return run
+
+    found = lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last"))
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return _let(codes, lambda c: F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), zero, step(c), found))
 
 
 def _wanted(s: Column) -> Column:
@@ -155,8 +186,12 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
     more = F.filter(F.flatten(F.transform(runs, span)), lambda s: s["high"])
     more = F.transform(more, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    more = F.filter(more, lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    out = out.withColumn("_more", F.when(worth, more).otherwise(none))
+    # Base spans by blocks with the range they cover, so that a span is held against few of them.
+    block = lambda x: F.struct(F.get(x, 0)["start"].alias("lo"), F.array_max(F.transform(x, lambda y: y["end"])).alias("hi"), x.alias("x"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_base") - 1) / FOLD).cast("int")), lambda b: _let(F.slice("_base", b * FOLD + 1, FOLD), block))
+    meet = lambda s, b: (b["lo"] < s["end"]) & (s["start"] < b["hi"]) & F.exists(b["x"], lambda y: (y["start"] < s["end"]) & (s["start"] < y["end"]))
+    free = _let(blocks, lambda held: F.filter(more, lambda s: ~F.exists(held, lambda b: meet(s, b))))
+    out = out.withColumn("_more", F.when(worth, F.when(F.size("_base") > 0, free).otherwise(more)).otherwise(none))
     return out.withColumn("_spans", F.array_sort(F.concat("_base", "_more"))).drop("_m0", "_m1", "_m2", "_m3", "_more")
 
 
@@ -180,15 +215,16 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     cols = docs.columns
     box = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
     found = find(box)
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        text = F.col("text")
-        fresh = s["start"] >= acc["pos"]
-        piece = F.when(fresh | (acc["pos"] == 0), F.concat(acc["out"], text.substr(acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0))), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(s["end"], acc["pos"]).alias("pos"), piece.alias("out"))
+    # Four bytes a character, so that a piece is cut without counting characters from the start.
+    def cut(wide: Column) -> Column:
+        get = lambda at, n: F.decode(F.substring(wide, at * 4 + 1, n * 4), "UTF-32")
+        piece = lambda pos, s: F.when((s["start"] >= pos) | (pos == 0), F.concat(get(pos, F.greatest(s["start"] - pos, F.lit(0))), F.lit(mark))).otherwise(F.lit(""))
+        pieces = _fold(F.col("_spans"), lambda s: s["end"], lambda a, n: F.greatest(a, n), piece, "string")
+        last = F.array_max(F.transform("_spans", lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), get(last, F.length("text") - last))
 
-    done = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["pos"] + 1, F.length("text"))))
+    done = _let(F.encode("text", "UTF-32"), cut)
     new = F.when(F.size("_spans") > 0, done).otherwise(F.col("_row.text"))
     found = found.select("_row", new.alias("_new"))
     size = {"text": F.col("_new"), "n_chars": F.when(F.col("_new").isNotNull(), F.length("_new")).otherwise(F.col("_row.n_chars") if "n_chars" in cols else F.lit(None))}

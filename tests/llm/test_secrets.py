@@ -122,3 +122,13 @@ def test_secrets_beside_allowed_parts(spark):
     assert all(key not in text[i] and "[SECRET]" in text[i] for i in range(len(rows)))
     assert [text[len(rows) + i] for i in range(len(plain))] == plain
     assert {r.doc_id: r.spans for r in S.scan(df.where("doc_id in (0, 3)")).collect()} == {0: "entropy:11:39", 3: "entropy:7:35"}
+
+
+def test_many_matches_in_one_text(spark):
+    """Blocks of the folds meet without a gap: 300 matches with characters of two bytes between them."""
+    parts = [f"token=aB3dE{i:06d}xyzQ9" for i in range(300)]
+    df = spark.createDataFrame([(1, " é ".join(parts))], "doc_id long, text string")
+    at = [i * (len(parts[0]) + 3) for i in range(300)]
+    r = S.scan(df).first()
+    assert r.n_assign == 300 and r.spans == ",".join(f"assign:{a}:{a + len(parts[0])}" for a in at)
+    assert S.redact(df).first().text == " é ".join(["[SECRET]"] * 300)
