@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One capital with what follows it up to the next, or a capital alone.
 TERM = r"\p{Lu}?[\p{L}\p{N}&&[^\p{Lu}]]+|\p{Lu}"
-#: In this order: the first that a path ends with is cut.
-SOURCE_SUFFIXES = "py ts tsx js jsx mjs cjs rs go java c cpp cc cxx h hpp hh hxx rb".split()
+# Fixed values, in this order: the first that a path ends with is cut.
+SOURCE_SUFFIXES = ["py", "ts", "tsx", "js", "jsx", "mjs", "cjs", "rs", "go", "java", "c", "cpp", "cc", "cxx", "h", "hpp", "hh", "hxx", "rb"]
 
 
 def token_estimate(x: Column) -> Column:
@@ -85,32 +85,38 @@ def parent_dir(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
+def _inner(raw: Column, at: Column) -> Column:
+    """Whether byte ``at`` (from 0) of UTF-8 continues a character; false beyond the ends."""
+    byte = F.conv(F.hex(F.substring(raw, at + 1, F.lit(1))), 16, 10).cast("int")
+    return (at >= 0) & F.coalesce((byte >= 128) & (byte < 192), F.lit(False))
+
+
+def _before(raw: Column, at: Column) -> Column:
+    """``at``, or the start of the character that it cuts: at most three bytes before it."""
+    a, b, c = (_inner(raw, at - k) for k in range(3))
+    return F.when(a & b & c, at - 3).when(a & b, at - 2).when(a, at - 1).otherwise(at)
+
+
+def _after(raw: Column, at: Column) -> Column:
+    """``at``, or the end of the character that it cuts."""
+    a, b, c = (_inner(raw, at + k) for k in range(3))
+    return F.when(a & b & c, at + 3).when(a & b, at + 2).when(a, at + 1).otherwise(at)
+
+
 def byte_slice(source: Column, start: Column, end: Column) -> Column:
-    """Bytes [start, end) of a text, clamped to it."""
+    """Bytes [start, end) of a text, clamped to it; characters that a border cuts are left out."""
     raw = F.encode(source, "UTF-8")
-    return F.decode(F.substring(raw, start + 1, F.greatest(end - start, F.lit(0))), "UTF-8")
+    first = _after(raw, start)
+    return F.decode(F.substring(raw, first + 1, F.greatest(_before(raw, end) - first, F.lit(0))), "UTF-8")
 
 
 def head_tail(source: Column, size: int, note: str = "\n... (truncated)\n") -> Column:
-    """A text of more than ``size`` bytes as its first three quarters and its end, cut at character borders.
-
-    UTF-8 continuation bytes at a border go with the dropped middle.
-    """
-    raw = F.encode(source, "UTF-8")
-    head, tail = size * 3 // 4, size - size * 3 // 4
-    # A border is moved past continuation bytes (10xxxxxx): at most three of them.
-    byte = lambda at: F.conv(F.hex(F.substring(raw, at, F.lit(1))), 16, 10).cast("int")  # noqa: E731  at from 1
-    inner = lambda at: (byte(at) >= 128) & (byte(at) < 192)
-    n = F.octet_length(source)
-    cut = F.lit(head)
-    for k in (2, 1, 0):
-        cut = F.when(inner(F.lit(head - k + 1)), F.lit(head - k - 1)).otherwise(F.lit(head - k)) if k == 2 else F.when(inner(F.lit(head - k + 1)), cut).otherwise(F.lit(head - k))
-    start = n - tail
-    moved = start + 3
-    for k in (2, 1, 0):
-        moved = F.when(inner(start + k + 1), moved).otherwise(start + k)
-    cutup = F.concat(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"), F.lit(note), F.decode(F.substring(raw, moved + 1, n), "UTF-8"))
-    return F.when(n <= size, source).otherwise(cutup)
+    """A text of more than ``size`` bytes as its first three quarters and its end; characters that a border cuts go with the dropped middle."""
+    raw, n = F.encode(source, "UTF-8"), F.octet_length(source)
+    head = size * 3 // 4
+    first = F.decode(F.substring(raw, F.lit(1), _before(raw, F.lit(head))), "UTF-8")
+    last = F.decode(F.substring(raw, _after(raw, n - (size - head)) + 1, n), "UTF-8")
+    return F.when(n <= size, source).otherwise(F.concat(first, F.lit(note), last))
 
 
 def line_number(source: Column, offset: Column) -> Column:

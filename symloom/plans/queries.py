@@ -350,15 +350,18 @@ def skeleton_lines(spark: SparkSession, d: str) -> DataFrame:
     return render.skeletons(A.symbols(spark, d))
 
 
-@query("select doc_id, case when strlen(text) <= 400 then text else text[1:300] || chr(10) || '... (truncated)' || chr(10) || text[-100:] end as t from documents where strlen(text) = length(text)")
+#: DuckDB: whole characters of bytes given in hexadecimal, without those that an end cuts.
+_WHOLE = "decode(unhex(regexp_extract(regexp_replace({0}, '^(?:[89AB].)+', ''), '^(?:[0-7].|[CD].[89AB].|E.(?:[89AB].){{2}}|F.(?:[89AB].){{3}})*')))"
+
+
+@query(f"with d as (select doc_id, text, hex(text) as h from documents) select doc_id, case when strlen(text) <= 400 then text else {_WHOLE.format('h[1:600]')} || chr(10) || '... (truncated)' || chr(10) || {_WHOLE.format('h[-200:]')} end as t from d")
 def head_tail_truncate(spark: SparkSession, d: str) -> DataFrame:
-    docs = A.table(spark, d, "documents").where("octet_length(text) = length(text)")
-    return docs.select("doc_id", X.head_tail(F.col("text"), 400).alias("t"))
+    return A.table(spark, d, "documents").select("doc_id", X.head_tail(F.col("text"), 400).alias("t"))
 
 
-@query("select doc_id, text[11:60] as t, length(text[1:50]) - length(replace(text[1:50], chr(10), '')) + 1 as line from documents where strlen(text) = length(text)")
+@query(f"with d as (select doc_id, hex(text) as h from documents), e as (select doc_id, {_WHOLE.format('h[21:120]')} as t, {_WHOLE.format('h[1:100]')} as p from d) select doc_id, t, length(p) - length(replace(p, chr(10), '')) + 1 as line from e")
 def source_slice(spark: SparkSession, d: str) -> DataFrame:
-    docs = A.table(spark, d, "documents").where("octet_length(text) = length(text)")
+    docs = A.table(spark, d, "documents")
     return docs.select("doc_id", X.byte_slice(F.col("text"), F.lit(10), F.lit(60)).alias("t"), X.line_number(F.col("text"), F.lit(50)).cast("long").alias("line"))
 
 

@@ -9,7 +9,7 @@ from typing import ClassVar
 
 from symloom.sources.filters import GLOBS, LANGUAGES, Rules
 
-#: The default list of languages before tsx was one; a file that holds it exactly is brought up to date.
+# Fixed value: the default list of languages before tsx was one; a file that holds it exactly is brought up to date.
 _BEFORE_TSX = ["python", "typescript", "javascript", "rust", "go", "java", "c", "cpp", "ruby"]
 
 
