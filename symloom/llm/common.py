@@ -92,8 +92,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, component), the smallest id reachable.
 
     Alternating large-star and small-star steps; each is a min() with map-side
-    combine, written, and a join of two written tables, which adaptive execution
-    can split, so a hub of any size is never gathered in one task. Ids without an
+    combine and a join; the edges of a hub, pairs of numbers, meet its minimum in
+    one task. Each step is a written table. Ids without an
     edge to another id are not returned.
     """
     pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -107,18 +107,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not was[0]:
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where(F.col("u") != F.col("v")).distinct(), "large")
-        forget(low)
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
         new = written(small, "small")
         now = mark(new)
         forget(cur)
         forget(large)
-        forget(low)
         cur = new
         if now == was:
             break
