@@ -26,7 +26,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("fn_"), (F.col("doc_id") % NAMES).cast("string")).alias("name"),
         F.col("lang").alias("kind"),
         F.when(F.col("quality") == 1, "public").when(F.col("quality") == 0, "private").otherwise("internal").alias("visibility"),
-        F.substring("text", 1, 120).alias("signature"),
+        F.col("text").alias("signature"),
         F.octet_length("text").alias("_n"),
     )
     order = Window.partitionBy("file_path").orderBy("id")
@@ -62,8 +62,8 @@ def references(spark: SparkSession, sf_dir: str, syms: DataFrame | None = None)
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the purchases as imports of English files."""
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase' and event_id % 3 = 0")
+    """Purchases as imports of English files."""
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     name = F.concat(F.lit("fn_"), (F.col("event_id") % NAMES).cast("string"))
     module = F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string"), F.lit(".fr"))
     path = F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"), F.lit("/en"))
@@ -77,11 +77,11 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cyclic graph of suppliers (ids as they are) and parts (ids above 1,000,000)."""
+    """A cyclic graph of suppliers (ids as they are) and parts (ids above 1,000,000); the quantity of a row turns its edge one way or the other."""
     li = table(spark, sf_dir, "lineitem")
     part = F.col("l_partkey") + 1_000_000
-    down = li.where("l_quantity < 10").select(F.col("l_suppkey").alias("src"), part.alias("dst"))
-    up = li.where("l_quantity > 45").select(part.alias("src"), ((F.col("l_suppkey") + 1) % 50).alias("dst"))
+    down = li.where("l_quantity < 25").select(F.col("l_suppkey").alias("src"), part.alias("dst"))
+    up = li.where("l_quantity >= 25 or l_quantity is null").select(part.alias("src"), ((F.col("l_suppkey") + 1) % 50).alias("dst"))
     return down.unionByName(up).distinct()
 
 
@@ -103,7 +103,7 @@ SQL = {
     "sym": f"""
         sym0 as (select d.doc_id as id, d.source || '/' || d.lang as file_path, 'fn_' || (d.doc_id % {NAMES}) as name, d.lang as kind,
             case l.quality when 1 then 'public' when 0 then 'private' else 'internal' end as visibility,
-            substr(d.text, 1, 120) as signature, strlen(d.text) as nb from documents d left join labels l on l.doc_id = d.doc_id),
+            d.text as signature, strlen(d.text) as nb from documents d left join labels l on l.doc_id = d.doc_id),
         sym1 as (select *, row_number() over (partition by file_path order by id) as seq,
             sum(nb) over (partition by file_path order by id rows unbounded preceding) as e from sym0),
         sym2 as (select *, min(id) over (partition by file_path, (seq - 1) // 5) as head, max(e) over (partition by file_path, (seq - 1) // 5) as stop from sym1),
@@ -117,13 +117,13 @@ SQL = {
         ref as (select ref_id, r.file_path, symbol_name, ref_id * 7919 % stop as byte_start from ref0 r join ends using (file_path))""",
     "imp": f"""
         imp as (select 'src' || (user_id % 20) || '/en' as file_path, event_id as ord, 'src' || (event_id % 20) || '.fr' as source_module,
-            'src' || (event_id % 20) || '/fr' as module, 'fn_' || (event_id % {NAMES}) as imported from events where event_type = 'purchase' and event_id % 3 = 0)""",
+            'src' || (event_id % 20) || '/fr' as module, 'fn_' || (event_id % {NAMES}) as imported from events where event_type = 'purchase')""",
     "imp_html": """
         hrefs as (select page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) as h from pages),
         imp_html as (select page_id::varchar as file_path, i - 1 as ord, h[i] as raw_text, h[i] as source_module from (select *, unnest(range(1, len(h) + 1)) as i from hrefs))""",
     "edge": """
-        edge as (select l_suppkey as src, l_partkey + 1000000 as dst from lineitem where l_quantity < 10
-            union select l_partkey + 1000000, (l_suppkey + 1) % 50 from lineitem where l_quantity > 45),
+        edge as (select l_suppkey as src, l_partkey + 1000000 as dst from lineitem where l_quantity < 25
+            union select l_partkey + 1000000, (l_suppkey + 1) % 50 from lineitem where l_quantity >= 25 or l_quantity is null),
         node as (select id, 'd' || (id % 7) || '/f' || (id % 31) as file_path, 'n' || id as name, 'd' || (id % 7) || '/f' || (id % 31) || '::n' || id as qualified_name,
             case when id > 1000000 then 'function' else 'class' end as kind from (select src as id from edge union select dst from edge))""",
 }
