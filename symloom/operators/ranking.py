@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.functions.text import query_terms, terms, token_estimate
+from symloom.operators.tables import running, written
 
 
 def document_terms(symbols: DataFrame) -> DataFrame:
@@ -49,25 +50,39 @@ def tfidf(symbols: DataFrame, query: str, boosts: bool = True) -> DataFrame:
     return docs.withColumn("score", score).drop(*drop)
 
 
-def greedy(ranked: DataFrame, budget: int, cost: Column | None = None) -> DataFrame:
+#: Rows that one step of the selection brings to the driver.
+STEP = 1000
+
+
+def greedy(ranked: DataFrame, budget: int, cost: Column | None = None, step: int = STEP) -> DataFrame:
     """Rows taken in the order of score while they fit; what doesn't fit is skipped and the rest goes on.
 
-    The scan is sequential by definition. It sees only what could be taken: rows
-    of a positive score that cost no more than the budget; and no more of them,
-    by cost ascending among equals, than a scan could ever need is known before,
-    so its input is three numbers a row. ``take`` is the order of selection.
+    The selection is sequential by definition: it looks at the next ``step`` rows
+    in order that cost no more than what is left, a top-k without a full sort,
+    and goes on behind them until nothing is left or nothing fits. What has been
+    taken spends the budget, so it is at most ``budget`` rows, besides rows that
+    cost nothing. ``take`` is the order of selection; rows of equal keys go by id.
     """
     cost = token_estimate(F.col("signature")) if cost is None else cost
-    rows = ranked.withColumn("_cost", cost).where((F.col("score") > 0) & (F.col("_cost") <= budget))
-    item = F.struct((-F.col("score")).alias("s"), "file_path", "byte_start", "seq", "id", F.col("_cost").alias("c"))
-    first = F.struct(F.lit(budget).cast("long").alias("left"), F.lit(0).alias("seen"), F.expr("cast(array() as array<bigint>)").alias("ids"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (x["c"] <= acc["left"]) & ((acc["left"] > 0) | (acc["seen"] == 0))
-        return F.struct(F.when(fits, acc["left"] - x["c"]).otherwise(acc["left"]).alias("left"), (acc["seen"] + 1).alias("seen"), F.when(fits, F.concat(acc["ids"], F.array(x["id"]))).otherwise(acc["ids"]).alias("ids"))
-
-    taken = rows.agg(F.array_sort(F.collect_list(item)).alias("r")).select(F.posexplode(F.aggregate("r", first, step, lambda acc: acc["ids"])).alias("take", "id"))
-    return ranked.join(taken, "id")
+    rows = ranked.withColumn("_cost", cost).where(F.col("score") > 0)
+    rows = rows.select((-F.col("score")).alias("s"), "file_path", "byte_start", "seq", "id", F.col("_cost").alias("c"))
+    order = ["s", "file_path", "byte_start", "seq", "id"]
+    left, taken = budget, []
+    while left > 0 or not taken:
+        rows = rows.where(F.col("c") <= left)
+        near = rows.orderBy(*order).limit(step).collect()
+        for x in near:
+            if x.c <= left and (left > 0 or not taken):
+                left -= x.c
+                taken.append((x.id, len(taken)))
+        if len(near) < step:
+            break
+        end = near[-1]
+        behind = F.struct(*order) > F.struct(*[F.lit(end[k]).cast(rows.schema[k].dataType) for k in order])
+        rows = written(rows.where(behind & (F.col("c") <= left)))
+    kind = ranked.schema["id"].dataType.simpleString()
+    picked = ranked.sparkSession.createDataFrame(taken, f"id {kind}, take int")
+    return ranked.join(picked, "id")
 
 
 def compress_context(symbols: DataFrame, query: str, budget: int = 32000) -> DataFrame:
@@ -80,21 +95,10 @@ def compress_context(symbols: DataFrame, query: str, budget: int = 32000) -> Dat
 
 
 def _prefix(blocks: DataFrame, budget: int, base: int, cost: Column) -> DataFrame:
-    """Blocks in path order up to the first that overflows the budget.
-
-    Running sums go over ranges of paths: a sum for each range first, then
-    within, so no task sorts all files.
-    """
-    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    rows = blocks.withColumn("_cost", cost).repartitionByRange(n, "file_path").sortWithinPartitions("file_path").withColumn("_part", F.spark_partition_id())
-    from symloom.operators.tables import written
-
-    rows = written(rows)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("_part").agg(F.sum("_cost").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy("_part").orderBy("file_path").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(F.broadcast(parts), "_part").withColumn("used_tokens", F.lit(base) + F.col("_base") + F.sum("_cost").over(inner))
-    return rows.where(F.col("used_tokens") <= budget).drop("_part", "_base").withColumnRenamed("_cost", "cost").orderBy("file_path")
+    """Blocks in path order up to the first that overflows the budget."""
+    rows = running(blocks.withColumn("cost", cost), "file_path", "cost")
+    rows = rows.withColumn("used_tokens", F.lit(base) + F.col("before") + F.col("cost"))
+    return rows.where(F.col("used_tokens") <= budget).drop("before").orderBy("file_path")
 
 
 def _by_file(symbols: DataFrame) -> DataFrame:

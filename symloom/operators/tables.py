@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SYMBOLS = "id bigint, file_id bigint, file_path string, seq int, name string, qualified_name string, kind string, visibility string, signature string, docstring string, byte_start bigint, byte_end bigint, parent_id bigint"
@@ -22,6 +22,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="symloom-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/symloom-{uuid.uuid4().hex}"
@@ -29,6 +31,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def running(df: DataFrame, key: str, size: str) -> DataFrame:
+    """df with before: the sum of size over the rows of smaller keys, which are unique.
+
+    Sums go over ranges of keys: one of each range first, then within it, so no
+    task sorts all rows.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = written(df.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id()))
+    less = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    parts = rows.groupBy("_part").agg(F.sum(size).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(less), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(F.broadcast(parts), "_part")
+    return rows.withColumn("before", F.col("_base") + F.coalesce(F.sum(size).over(inner), F.lit(0))).drop("_part", "_base")
+
+
 def in_list_order(df: DataFrame) -> DataFrame:
     return df.orderBy("file_path", "byte_start", "seq")
 

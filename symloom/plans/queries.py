@@ -113,14 +113,14 @@ _GREEDY = """
         picked as (select o.*, row_number() over (order by o.r) - 1 as take from ordered o join scan s on s.r = o.r and s.took)"""
 
 
-@query(f"{A.sql('sym', recursive=True)}, {_tfidf_sql('the and src3', True)}, {_GREEDY.format(budget=900)} select id, take::int as take from picked")
+@query(f"{A.sql('sym', recursive=True)}, {_tfidf_sql('the and src3', True)}, {_GREEDY.format(budget=9_000)} select id, take::int as take from picked")
 def greedy_selection(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.greedy(ranking.tfidf(A.symbols(spark, d), "the and src3"), 900).select("id", "take")
+    return ranking.greedy(ranking.tfidf(A.symbols(spark, d), "the and src3"), 9_000).select("id", "take")
 
 
-@query(f"{A.sql('sym', recursive=True)}, {_tfidf_sql('the and src3', True)}, {_GREEDY.format(budget=2000)} select file_path, '// ' || file_path || chr(10) || string_agg(signature || chr(10), '' order by take) || chr(10) as block, count(*)::int as n_symbols from picked group by file_path")
+@query(f"{A.sql('sym', recursive=True)}, {_tfidf_sql('the and src3', True)}, {_GREEDY.format(budget=32_000)} select file_path, '// ' || file_path || chr(10) || string_agg(signature || chr(10), '' order by take) || chr(10) as block, count(*)::int as n_symbols from picked group by file_path")
 def compress_context(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.compress_context(A.symbols(spark, d), "the and src3", 2000)
+    return ranking.compress_context(A.symbols(spark, d), "the and src3", 32_000)
 
 
 _BLOCKS = {
@@ -131,14 +131,14 @@ _BLOCKS = {
 }
 
 
-@query(f"{A.sql('sym')}, {_BLOCKS['pack_xml']}, us as (select *, (2 + sum(cost) over (order by file_path))::bigint as used_tokens from co) select file_path, block, cost, used_tokens from us where used_tokens <= 3000")
+@query(f"{A.sql('sym')}, {_BLOCKS['pack_xml']}, us as (select *, (2 + sum(cost) over (order by file_path))::bigint as used_tokens from co) select file_path, block, cost, used_tokens from us where used_tokens <= 32000")
 def pack_xml(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.pack_xml(A.symbols(spark, d), 3000)
+    return ranking.pack_xml(A.symbols(spark, d), 32_000)
 
 
-@query(f"{A.sql('sym')}, {_BLOCKS['pack_json']}, us as (select *, (20 + sum(cost) over (order by file_path))::bigint as used_tokens from co) select file_path, symbols, cost, used_tokens from us where used_tokens <= 3000")
+@query(f"{A.sql('sym')}, {_BLOCKS['pack_json']}, us as (select *, (20 + sum(cost) over (order by file_path))::bigint as used_tokens from co) select file_path, symbols, cost, used_tokens from us where used_tokens <= 32000")
 def pack_json_files(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.pack_json(A.symbols(spark, d), 3000)
+    return ranking.pack_json(A.symbols(spark, d), 32_000)
 
 
 # Lookups
@@ -335,9 +335,9 @@ def map_tree(spark: SparkSession, d: str) -> DataFrame:
 _FULL = "blocks as (select s.file_path as key, chr(10) || s.file_path || ':' || chr(10) || string_agg('  ' || s.signature || chr(10) || coalesce(k.t, ''), '' order by s.byte_start, s.seq) as block from sym s left join (select parent_id, string_agg('    ' || signature || chr(10), '' order by byte_start, seq) as t from sym where parent_id is not null group by 1) k on k.parent_id = s.id where s.parent_id is null group by 1, s.file_path)"
 
 
-@query(f"{A.sql('sym')}, {_FULL}, b as (select *, coalesce(sum(strlen(block)) over (order by key rows between unbounded preceding and 1 preceding), 0) as p from blocks) select key, block from b where p <= 20000")
+@query(f"{A.sql('sym')}, {_FULL}, b as (select *, coalesce(sum(strlen(block)) over (order by key rows between unbounded preceding and 1 preceding), 0) as p from blocks) select key, block from b where p <= 120000")
 def map_full(spark: SparkSession, d: str) -> DataFrame:
-    return render.map_overview(A.symbols(spark, d), "full", 20_000).select("key", "block")
+    return render.map_overview(A.symbols(spark, d), "full", 120_000).select("key", "block")
 
 
 @query(f"{A.sql('sym')} select file_path as key, chr(10) || file_path || ':' || chr(10) || string_agg('  ' || case visibility when 'public' then '+' when 'private' then '-' else '~' end || '  ' || name || chr(10), '' order by byte_start, seq) as block from sym where parent_id is null group by 1, file_path")
