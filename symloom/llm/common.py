@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: The low bits of monotonically_increasing_id() that count rows of a partition.
 _ROW_BITS = 33
+#: A node with more than this part of all edges is a hub of components().
+HUBS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,9 +94,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, component), the smallest id reachable.
 
     Alternating large-star and small-star steps; each is a min() with map-side
-    combine and a join; the edges of a hub, pairs of numbers, meet its minimum in
-    one task. Each step is a written table. Ids without an
-    edge to another id are not returned.
+    combine and a join. A hub is a node with more than one part in HUBS of the
+    edges; there are at most HUBS of them, so their minima are broadcast and
+    their edges stay where they are. Each step is a written table. Ids without
+    an edge to another id are not returned.
     """
     pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur = written(pairs, "edges")
@@ -102,16 +105,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def lowest(df: DataFrame, total: int, with_self: bool) -> tuple[DataFrame, DataFrame]:
+        low = df.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        low = low.withColumn("m", F.least("u", "m")) if with_self else low
+        hub = F.col("n") * HUBS > total
+        found = df.join(F.broadcast(low.where(hub).select("u", F.col("m").alias("hm"))), "u", "left")
+        hot = found.where("hm is not null").select("u", "v", F.col("hm").alias("m"))
+        rest = found.where("hm is null").select("u", "v").join(low.where(~hub).select("u", "m"), "u")
+        return low, hot.unionByName(rest)
+
     was = mark(cur)
     for _ in range(rounds):
         if not was[0]:
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        _, pairs = lowest(both, 2 * was[0], True)
+        large = pairs.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where(F.col("u") != F.col("v")).distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low, pairs = lowest(large, 2 * was[0], False)  # large has no more rows than both
+        small = pairs.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
         new = written(small, "small")
         now = mark(new)
