@@ -179,11 +179,6 @@ def _search(num: int, den: int, least: int):
     return run
 
 
-def _joined(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Joined by a shuffle whatever the sizes are: both sides grow with the corpus, so neither is ever broadcast."""
-    return left.join(right.hint("merge"), on)
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 85, den: int = 100, halves: int = HALVES, minima: int = MINIMA, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -210,13 +205,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 85, den: int = 10
     shared = written(keys.join(buckets, "key"), "shared")
     pairs = shared.where("cls <> pivot").groupBy(F.col("cls").alias("a"), F.col("pivot").alias("b")).agg((F.max("n") > 2).alias("many"))
     sigs = classes.select("cls", "sig")
-    pairs = _joined(_joined(written(pairs, "candidates"), sigs.toDF("a", "sig_a"), "a"), sigs.toDF("b", "sig_b"), "b")
+    pairs = written(pairs, "candidates").join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
     pairs = written(pairs.mapInArrow(_agree(least), "a long, b long, many boolean, ok boolean"), "pairs")
     need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     need = written(need.join(classes.select("cls", "digest", F.col("rep").alias("doc_id")), "cls"), "need")
-    sets = _joined(base, need, "doc_id").select("cls", "digest", "text").mapInArrow(_sets(size), "cls long, shingles binary")
+    # Texts are shuffled at every size: what is needed of them grows with the corpus.
+    sets = base.join(need.hint("merge"), "doc_id").select("cls", "digest", "text").mapInArrow(_sets(size), "cls long, shingles binary")
     sets = written(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
-    both = _joined(_joined(pairs.where("ok").select("a", "b"), sets.toDF("a", "set_a"), "a"), sets.toDF("b", "set_b"), "b")
+    both = pairs.where("ok").select("a", "b").join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     links = written(both.mapInArrow(_confirm(num, den), "a long, b long"), "links")
     links = links.unionByName(written(_rest(shared, classes, sets, links, num, den, least, block), "more"))
     # An id with several classes links them: each with the smallest.
@@ -252,7 +248,7 @@ def _rest(shared, classes, sets, links, num, den, least, block) -> DataFrame:
     sizes = common.written(group.groupBy("cluster").agg(blocks), "sizes")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("blk")).alias("i"), F.greatest(j, F.col("blk")).alias("j"), (j < F.col("blk")).cast("int").alias("side")))
     dealt = group.join(sizes, "cluster").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = _joined(dealt, sets, "cls").withColumn("p", F.explode(pairs)).select("cluster", "p.*", "cls", "label", "sig", "shingles")
+    dealt = dealt.join(sets, "cls").withColumn("p", F.explode(pairs)).select("cluster", "p.*", "cls", "label", "sig", "shingles")
     return dealt.groupBy("cluster", "i", "j").applyInPandas(_search(num, den, least), "a long, b long")
 
 
