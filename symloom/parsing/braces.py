@@ -163,7 +163,9 @@ class _Reader:
                 continue
             if re.search(r"\b(?:function|func|fn|class|struct|enum)\*?$", before):
                 continue
-            found.add((m.start(), self.closing.get(m.end() - 1, m.end()) + 1, real(name)))
+            # The range is that of what is called: with its receivers, in Java the name alone; type arguments belong to it in Rust.
+            end = m.start() + len(m[0][:-1].rstrip()) if self.family == "rust" else m.end(1)
+            found.add((at if self.family == "java" else m.start(), end, real(name)))
         self.out.references = [(n, a, b) for a, b, n in sorted(found)]
 
 
@@ -195,6 +197,8 @@ def _script(r: _Reader, lo: int, hi: int) -> None:
                     r.out.symbols[k].signature = real(r.src[a:b]).strip().rstrip(";")
         elif typed and (m2 := r.match(rf"(?:declare\s+)?interface\s+(?P<name>{_ID})", start, end)):
             r.add(m2["name"], "interface", visibility, start, end, brace)
+            for a, b, _ in r.items(*r.inside(brace)) if brace >= 0 else ():
+                r.match(rf"(?:(?:readonly|get|set)\s+)*(?P<name>{_ID})\s*\??\s*(?:<[^(]*>)?\s*\(", a, b)  # a member's name is no call
         elif typed and (m2 := r.match(rf"(?:declare\s+)?type\s+(?P<name>{_ID})", start, end)):
             r.add(m2["name"], "type", visibility, start, end, line=True)
         elif m2 := r.match(r"(?:declare\s+)?(const|let|var)\s+", start, end):
@@ -260,7 +264,7 @@ def _go(r: _Reader, lo: int, hi: int) -> None:
         elif m := r.match(r"import\b", start, end):
             got = re.search(r'"([^"]*)"', r.src[start:end])
             grouped = "(" in r.m[start:end]
-            r.out.imports.append(Import(real(r.src[start:end].rstrip()), real(got[1]) if got and not grouped else None, []))
+            r.out.imports.append(Import(real(r.src[start:end].rstrip()), real(got[1]) if got and not grouped else None, [real(got[1])] if got and not grouped else []))
 
 
 def _java(r: _Reader, lo: int, hi: int) -> None:
@@ -293,7 +297,7 @@ def _c(r: _Reader, lo: int, hi: int) -> None:
     for start, end, brace in r.items(lo, hi):
         if m := r.match(r"#\s*include\b", start, end):
             path = real(r.src[m.end() : end]).strip().strip('<>"')
-            r.out.imports.append(Import(real(r.src[start:end]).strip(), path, []))
+            r.out.imports.append(Import(real(r.src[start:end]).strip(), path, [path]))
         elif r.m[start] == "#":
             continue
         elif cpp and (m := r.match(rf"(?:inline\s+)?namespace\s+(?P<name>{_ID}(?:::{_ID})*)", start, end)) and brace >= 0:
@@ -306,15 +310,16 @@ def _c(r: _Reader, lo: int, hi: int) -> None:
             if words:
                 r.add(words[-1], "type", "public", start, end, line=True)
         elif cpp and (m := r.match(rf"(?:template\s*<[^;{{]*?>\s*)?class\s+(?:{_ID}\s*\([^)]*\)\s*)?(?P<name>{_ID})", start, end)) and brace >= 0:
-            me = r.add(m["name"], "class", "public", start, end, brace)
             lo2, hi2 = r.inside(brace)
+            me = r.add(m["name"], "class", "public", r.m.index("class", start), min(hi2 + 1, end), brace)
+            r.out.symbols[me].signature = f"class {real(m['name'])}"
             clean = re.sub(r"\b(?:public|private|protected)\s*:", lambda x: " " * len(x[0]), r.m[lo2:hi2])
             r.m = r.m[:lo2] + clean + r.m[hi2:]
             for a, b, inner in r.items(lo2, hi2):
                 if x := r.match(rf"[^=;{{]*?(?P<name>~?{_ID}|operator\s*[^\s(]+)\s*\(", a, b):
                     r.add(x["name"], "method", "public", a, b, inner, me)
         elif (m := r.match(rf"(?:struct|enum(?:\s+class)?|union)\s+(?P<name>{_ID})\s*(?::[^{{;]*)?(?=\{{)", start, end)) and brace >= 0:
-            r.add(m["name"], "type", "public", start, end, brace)
+            r.add(m["name"], "type", "public", start, min(r.inside(brace)[1] + 1, end), line=True)
         elif brace >= 0 and (m := r.match(rf"(?:template\s*<[^;{{]*?>\s*)?[^=;{{(]*?(?P<name>(?:{_ID}::)*~?{_ID})\s*\(", start, end)) and m["name"] not in _NO_CALL:
             r.names.add(m.end("name") - len(m["name"].rsplit("::", 1)[-1]))
             r.add(m["name"], "function", "public", start, end, brace)

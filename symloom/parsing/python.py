@@ -68,7 +68,7 @@ def parse(source: bytes) -> Parsed:
             f = n.func
             name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
             if name and name not in _RECEIVERS:
-                calls.add((begin(n), end(n), name))
+                calls.add((begin(f), end(f), name))
     out.references = [(name, a, b) for a, b, name in sorted(calls)]
     return out
 
@@ -97,5 +97,5 @@ def _scan(source: bytes) -> Parsed:
     named = {m.start(3) for m in found}
     for m in re.finditer(r"\b(\w+)[ \t]*\(", src):
         if m.start() not in named and m[1] not in _RECEIVERS and m[1] not in {"if", "elif", "while", "for", "return", "and", "or", "not", "in", "lambda"}:
-            out.references.append((m[1], m.start(), m.end()))
+            out.references.append((m[1], m.start(), m.end(1)))
     return out

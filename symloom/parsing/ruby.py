@@ -19,7 +19,7 @@ def parse(source: bytes) -> Parsed:
         start, at = at, at + len(line) + 1
         if m := re.match(r"\s*require(?:_relative)?\b\s*\(?\s*[\"']([^\"']*)", text):
             if not stack:
-                out.imports.append(Import(real(text.strip()), real(m[1]), []))
+                out.imports.append(Import(real(text.strip()), real(m[1]), [real(m[1])]))
         code = line.strip()
         if re.match(r"end\b", code) and stack:
             k = stack.pop()
@@ -56,6 +56,6 @@ def parse(source: bytes) -> Parsed:
     for m in re.finditer(r"(?:(?:[\w@]+[?!]?|\))\s*&?\.\s*)?\b([A-Za-z_]\w*[?!]?)\s*\(|[\w@)\]]+[?!]?\s*&?\.\s*([a-z_]\w*[?!]?)(?![\w(])", masked):
         name = m[1] or m[2]
         if name not in _NO_CALL and m.start(1 if m[1] else 2) not in defined:
-            found.add((m.start(), m.end(), real(name)))
+            found.add((*m.span(1 if m[1] else 2), real(name)))
     out.references = [(n, a, b) for a, b, n in sorted(found)]
     return out

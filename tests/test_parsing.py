@@ -191,7 +191,7 @@ void decl(int);
 def test_c():
     _, names, imports, calls = brief(C, "c")
     assert names == [("type", "pair_t", None), ("type", "node", None), ("type", "color", None), ("const", "LIMIT", None), ("function", "add", None)]
-    assert imports == [("stdio.h", []), ("own/list.h", [])] and "printf" in calls
+    assert imports == [("stdio.h", ["stdio.h"]), ("own/list.h", ["own/list.h"])] and "printf" in calls
 
 
 CPP = """#include <vector>
@@ -212,7 +212,7 @@ def test_cpp():
     _, names, imports, calls = brief(CPP, "cpp")
     assert names[:2] == [("module", "geo", None), ("class", "Shape", None)]
     assert ("method", "area", "Shape") in names and ("function", "helper", None) in names and ("function", "pick", None) in names
-    assert {"max", "other", "helper"} <= set(calls) and imports == [("vector", [])]
+    assert {"max", "other", "helper"} <= set(calls) and imports == [("vector", ["vector"])]
 
 
 RB = """require 'json'

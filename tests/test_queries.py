@@ -1,5 +1,6 @@
 import pytest
 
+from symloom.plans import parsed  # noqa: F401
 from symloom.plans.queries import QUERIES, SQL
 from tests.oracle import difference
 
