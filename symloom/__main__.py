@@ -9,7 +9,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from symloom.api import Index, packed_text, score_text
+from symloom.api import Index, dependencies_text, impact_text, imports_text, packed_text, score_text
 from symloom.sources.config import Config
 
 
@@ -26,14 +26,15 @@ def call(index: Index, tool: str, args: dict) -> object:
     if tool not in QUERIES:
         raise LookupError(f"no query {tool}")
     out = getattr(index, tool)(**args)
-    if tool == "pack_repo":
-        return packed_text(out)
+    if tool in TEXTS:
+        return TEXTS[tool](out)
     if tool == "get_ranked_symbols":
         out = score_text(out)
     return [r.asDict(recursive=True) for r in out.collect()]
 
 
 QUERIES = ("map_overview", "find_symbol", "read_source", "search_symbols", "get_skeleton", "get_dependencies", "get_impact", "trace_data_flow", "get_ranked_symbols", "compress_context", "pack_repo", "search_imports", "index_status", "reindex")
+TEXTS = {"pack_repo": packed_text, "get_dependencies": dependencies_text, "get_impact": impact_text, "search_imports": imports_text}
 _JSON_TYPES = {"str": "string", "int": "integer"}
 
 

@@ -114,7 +114,8 @@ class Index:
             lines = kids.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("byte_start", "seq", "signature"))), lambda k: F.concat(F.lit("  "), k["signature"], F.lit("\n"))), "").alias("_k"))
             body = F.when(F.col("_k") == "", "  ...\n").otherwise(F.col("_k"))
             return first.crossJoin(lines).select("file_path", F.concat("signature", F.lit("\n"), body).alias("source"))
-        text = tree.read(self.spark, self.root).select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("_s"))
+        path = first.first().file_path
+        text = tree.read(self.spark, self.root, only=path).select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("_s"))
         both = first.join(text, "file_path")
         part = X.byte_slice(F.col("_s"), F.col("byte_start"), F.col("byte_end"))
         both = both.withColumns({"line": X.line_number(F.col("_s"), F.col("byte_start")), "_t": part})
@@ -134,7 +135,9 @@ class Index:
         return starts
 
     def _named(self, ids: DataFrame) -> DataFrame:
-        return ids.join(self.symbols.select("id", "qualified_name", "kind", "file_path", "signature"), "id")
+        """ids with what their symbols say; an id without a symbol is unknown."""
+        got = ids.join(self.symbols.select("id", "qualified_name", "kind", "file_path", "signature"), "id", "left")
+        return got.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("qualified_name", "kind", "file_path")})
 
     def get_dependencies(self, symbol: str, direction: str = "both", max_results: int = 20) -> DataFrame:
         """Neighbours in the order of their names; ``total`` is how many there are."""
@@ -144,8 +147,11 @@ class Index:
         return names.crossJoin(F.broadcast(total)).orderBy("qualified_name").limit(max_results)
 
     def get_impact(self, symbol: str, max_depth: int = 3, max_results: int = 30) -> DataFrame:
+        """What depends on a symbol, by file; ``total`` and ``total_files`` count all of it."""
         hit = graph.impact(tables.written(self.edges), self._starts(symbol), max_depth)
-        return self._named(hit).orderBy("file_path", "qualified_name", "id").limit(max_results)
+        rows = tables.written(self._named(hit))
+        total = rows.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("file_path").alias("total_files"))
+        return rows.crossJoin(F.broadcast(total)).orderBy("file_path", "qualified_name", "id").limit(max_results)
 
     def trace_data_flow(self, symbol: str, max_depth: int = 3, max_results: int = 20) -> DataFrame:
         """direction, qualified_name, depth, score; at most max_results in each direction."""
@@ -179,3 +185,37 @@ def packed_text(packed: DataFrame) -> str:
 def score_text(rows: DataFrame) -> DataFrame:
     """Scores with six digits."""
     return rows.withColumn("score", F.format_string("%.6f", "score"))
+
+
+def _by_file(rows: list, line) -> str:
+    out, at = "", None
+    for r in rows:
+        if r.file_path != at:
+            at = r.file_path
+            out += f"{at}:\n"
+        out += line(r)
+    return out
+
+
+def impact_text(impact: DataFrame) -> str:
+    """get_impact() by file, with totals and what is left out; its rows are bounded by max_results."""
+    rows = impact.collect()
+    if not rows:
+        return "Nothing depends on it\n"
+    total, files = rows[0].total, rows[0].total_files
+    out = f"{total} affected symbols across {files} files\n" + _by_file(rows, lambda r: f"  {r.qualified_name}\n")
+    more = f"... and {total - len(rows)} more symbols in {files - min(files, len(rows))} files\n"
+    return out + more * (total > len(rows))
+
+
+def dependencies_text(near: DataFrame) -> str:
+    """get_dependencies() a line each, with what is left out."""
+    rows = near.collect()
+    out = "".join(f"{r.qualified_name} [{r.kind}] {r.file_path}\n" for r in rows)
+    return out + (f"... and {rows[0].total - len(rows)} more\n" if rows and rows[0].total > len(rows) else "")
+
+
+def imports_text(found: DataFrame) -> str:
+    """search_imports() by file."""
+    rows = found.collect()
+    return f"{len(rows)} imports across {len({r.file_path for r in rows})} files\n" + _by_file(rows, lambda r: f"  {r.raw_text}\n")

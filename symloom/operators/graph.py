@@ -109,3 +109,10 @@ def ranked(symbols: DataFrame, ranks: DataFrame, limit: int = 10, kind: str | No
 def score_of(symbols: DataFrame, ranks: DataFrame, name: str) -> DataFrame:
     """One row: the highest score among symbols of that name, 0 without any."""
     return start_ids(symbols, name).join(ranks, "id").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
+
+
+def about(symbols: DataFrame, name: str) -> DataFrame:
+    """file_path and kind of a name: of the first, in list order, of the symbols it stands for."""
+    found = symbols.join(start_ids(symbols, name), "id", "left_semi")
+    first = F.struct("file_path", "byte_start", "seq")
+    return found.agg(F.min_by("file_path", first).alias("file_path"), F.min_by("kind", first).alias("kind"))

@@ -430,3 +430,83 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.concat(F.col("conv_id").cast("string"), tail).alias("path"), (F.octet_length("text") * 60).cast("long").alias("size"))
 
 
+
+
+# Tables as they are, names, and rows of edge cases
+
+
+@query(f"{A.sql('sym')} select distinct file_path, regexp_replace(file_path, '^.*/', '') as language from sym")
+def all_files(spark: SparkSession, d: str) -> DataFrame:
+    return A.symbols(spark, d).select("file_path", F.regexp_replace("file_path", "^.*/", "").alias("language")).distinct()
+
+
+@query(f"{A.sql('imp')} select file_path, ord, source_module, imported as names from imp")
+def all_imports(spark: SparkSession, d: str) -> DataFrame:
+    return A.imports(spark, d).select("file_path", "ord", "source_module", F.array_join("imported_names", ",").alias("names"))
+
+
+@query(f"{A.sql('edge')} select src, dst from edge")
+def all_edges(spark: SparkSession, d: str) -> DataFrame:
+    return A.edges(spark, d)
+
+
+@query(f"{A.sql('edge')} select e.src, e.dst from edge e join node a on a.id = e.src join node b on b.id = e.dst where a.kind <> 'function' or a.id % 3 > 0 intersect select src, dst from edge where dst <= 1000000 or dst % 3 > 0")
+def valid_edges(spark: SparkSession, d: str) -> DataFrame:
+    e = tables.written(A.edges(spark, d))
+    known = A.nodes(e).where("kind <> 'function' or id % 3 > 0")
+    return graph.build(known, e.unionByName(e))
+
+
+_GLOBS = ["**/dist/**", "1*/a.py", "[!2]?/{.b,test}*"]
+
+
+@query(f"with {_TREE} select path, case when path like '%/.b/%' then 'hidden' when path like '%/dist/%' then 'excluded' when regexp_matches(path, '^1.*/a\\.py$') or regexp_matches(path, '^[^2]./(\\.b|test).*$') then 'pattern' when path like '%/test_%' then 'test' end as reason from tr")
+def glob_reasons(spark: SparkSession, d: str) -> DataFrame:
+    from symloom.sources.filters import Rules, classify
+
+    return classify(_paths(spark, d), Rules(max_file_size_kb=1 << 30, exclude_patterns=_GLOBS)).select("path", "reason")
+
+
+@query(f"{A.sql('sym')} select id from sym where name = 'fn_3'")
+def starts_bare(spark: SparkSession, d: str) -> DataFrame:
+    return graph.start_ids(A.symbols(spark, d), "fn_3")
+
+
+@query(f"{A.sql('sym')} select id from sym where qualified_name = (select min(qualified_name) from sym) order by byte_start desc, seq desc limit 1")
+def starts_qualified(spark: SparkSession, d: str) -> DataFrame:
+    s = A.symbols(spark, d)
+    return graph.start_ids(s, s.agg(F.min("qualified_name")).first()[0])
+
+
+@query(f"{A.sql('sym')} select max(id * 0.5)::double as score from sym where name = 'fn_3'")
+def score_of_name(spark: SparkSession, d: str) -> DataFrame:
+    s = A.symbols(spark, d)
+    return graph.score_of(s, s.select("id", (F.col("id") * F.lit(0.5)).alias("score")), "fn_3")
+
+
+@query(f"{A.sql('sym')} select file_path, kind from sym where name = 'fn_3' order by file_path, byte_start, seq limit 1")
+def about_name(spark: SparkSession, d: str) -> DataFrame:
+    return graph.about(A.symbols(spark, d), "fn_3")
+
+
+@query("select cast(null as varchar) as block where false")
+def compress_nothing(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.compress_context(A.symbols(spark, d), "", 1000).select("block")
+
+
+@query(f"{A.sql('edge')} select distinct name from (select dst as id from edge where src = 7 union select src from edge where dst = 7) join node using (id)")
+def neighbor_names(spark: SparkSession, d: str) -> DataFrame:
+    e = tables.written(A.edges(spark, d))
+    return graph.neighbours(e, _start(spark, 7), "sideways").join(A.nodes(e), "id").select("name").distinct()
+
+
+@query(f"{_walk_sql(7, 3, True)} select name, min(depth)::int as depth from w join node using (id) where depth > 0 group by name")
+def trace_names(spark: SparkSession, d: str) -> DataFrame:
+    e = tables.written(A.edges(spark, d))
+    up = graph.walk(graph.reverse(e), _start(spark, 7), 3, revisit=True)
+    return up.join(A.nodes(e), "id").groupBy("name").agg(F.min("depth").alias("depth"))
+
+
+@query("select l_orderkey, l_linenumber, format('{:.6f}', l_extendedprice::double / 7) as score from lineitem")
+def six_digits(spark: SparkSession, d: str) -> DataFrame:
+    return A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("%.6f", F.col("l_extendedprice").cast("double") / 7).alias("score"))
