@@ -15,6 +15,7 @@ method is allow; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Labelled URLs at most, in expectation, that the trees are fitted on.
 SAMPLE = 20_000
+#: Parts of the labelled URLs; equal URLs are in one.
+FOLDS = 5
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -170,7 +173,14 @@ def fit(urls: list[str], labels: list[int]) -> tuple[Suffixes, Trees | None]:
     suffixes = Suffixes(split, y)
     if not len(y):
         return suffixes, None
-    x = np.array([features(u, h, p, suffixes) for u, (h, p) in zip(urls, split)], float)
+    # A row's suffix statistics are those of the other folds, so its own label is in none of its features.
+    fold = np.array([zlib.crc32(u.encode("utf-8", "replace")) % FOLDS for u in urls])
+    x = np.zeros((len(y), len(features("", "", "", suffixes))))
+    for k in range(FOLDS):
+        rest = np.flatnonzero(fold != k)
+        others = Suffixes([split[i] for i in rest], y[rest])
+        for i in np.flatnonzero(fold == k):
+            x[i] = features(urls[i], *split[i], others)
     return suffixes, Trees(x, y)
 
 

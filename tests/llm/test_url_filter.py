@@ -57,3 +57,17 @@ def test_query_agrees_with_rules_and_holds_out(spark):
     x = np.array([U.features(u, *U.parts(u), suffixes) for u, _ in fold[0]], float)
     right = ((trees.score(x) >= 0.5) == np.array([v for _, v in fold[0]])).mean()
     assert right >= max(np.mean([v for _, v in fold[0]]), 1 - np.mean([v for _, v in fold[0]])) - 0.1 and cut
+
+
+def test_beats_the_majority_by_a_tenth(spark):
+    urls = [r.url for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect()]
+    known = sorted((u, int(brute(u)[3] == "block")) for u in urls if brute(u)[3])
+    right, total = 0, 0
+    for k in range(5):
+        train = [r for i, r in enumerate(known) if i % 5 != k]
+        suffixes, trees = U.fit([u for u, _ in train], [v for _, v in train])
+        x = np.array([U.features(u, *U.parts(u), suffixes) for u, _ in known[k::5]], float)
+        right += ((trees.score(x) >= 0.5) == np.array([v for _, v in known[k::5]])).sum()
+        total += len(x)
+    share = np.mean([v for _, v in known])
+    assert right / total >= max(share, 1 - share) + 0.1, (right / total, share)
