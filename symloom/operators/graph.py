@@ -100,10 +100,10 @@ def related(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
 
 
 def ranked(symbols: DataFrame, ranks: DataFrame, limit: int = 10, kind: str | None = None, prefix: str | None = None) -> DataFrame:
-    """The symbols of highest rank; filters come before the limit."""
+    """The symbols of highest rank; filters come before the limit. Scores that agree to 12 digits are ties, as sums differ by their order."""
     rows = symbols.where(F.col("kind") == kind) if kind else symbols
     rows = rows.where(F.col("file_path").startswith(prefix)) if prefix else rows
-    return rows.join(ranks, "id").orderBy(F.desc("score"), "qualified_name", "id").limit(limit)
+    return rows.join(ranks, "id").orderBy(F.desc(F.round("score", 12)), "qualified_name", "id").limit(limit)
 
 
 def score_of(symbols: DataFrame, ranks: DataFrame, name: str) -> DataFrame:

@@ -271,17 +271,17 @@ def pagerank_20(spark: SparkSession, d: str) -> DataFrame:
     return _ranks(spark, d)[1].select("id", F.round("score", 8).alias("score"))
 
 
-@query(f"{_rank_sql()} select id, qualified_name, round(s, 8) as score from r20 join node using (id) order by s desc, qualified_name, id limit 10")
+@query(f"{_rank_sql()} select id, qualified_name, round(s, 8) as score from r20 join node using (id) order by round(s, 12) desc, qualified_name, id limit 10")
 def ranked_top_n(spark: SparkSession, d: str) -> DataFrame:
     return graph.ranked(*_ranks(spark, d)).select("id", "qualified_name", F.round("score", 8).alias("score"))
 
 
-@query(f"{_rank_sql()} select id, qualified_name, round(s, 8) as score from r20 join node using (id) where kind = 'function' order by s desc, qualified_name, id limit 10")
+@query(f"{_rank_sql()} select id, qualified_name, round(s, 8) as score from r20 join node using (id) where kind = 'function' order by round(s, 12) desc, qualified_name, id limit 10")
 def ranked_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return graph.ranked(*_ranks(spark, d), kind="function").select("id", "qualified_name", F.round("score", 8).alias("score"))
 
 
-@query(f"{_rank_sql()} select id, qualified_name, round(s, 8) as score from r20 join node using (id) where file_path like 'd3/%' order by s desc, qualified_name, id limit 10")
+@query(f"{_rank_sql()} select id, qualified_name, round(s, 8) as score from r20 join node using (id) where file_path like 'd3/%' order by round(s, 12) desc, qualified_name, id limit 10")
 def ranked_by_path(spark: SparkSession, d: str) -> DataFrame:
     return graph.ranked(*_ranks(spark, d), prefix="d3/").select("id", "qualified_name", F.round("score", 8).alias("score"))
 
