@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,19 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)
 
 
+def totals(df: DataFrame, each: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum of each(batch), ``size`` whole numbers, over all of df; a task sends its own sum to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, "<i8")
+        for batch in batches:
+            if batch.num_rows:
+                total += each(batch).astype("<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["t"])
+
+    return sum((np.frombuffer(r.t, "<i8") for r in df.mapInArrow(run, "t binary").collect()), np.zeros(size, "i8"))
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, from the session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -35,3 +35,23 @@ def test_features_of_odd_texts():
     for t in (None, "", " ", "\n", "a", "é" * 10000, "| " * 50):
         x = Q.features(t)
         assert len(x) == len(Q.NAMES) and np.isfinite(x).all()
+
+
+def test_learns_from_all_rows_and_pairs(spark):
+    """24,000 labelled rows: bins are quantiles of all of them, and the strengths are least in loss over all pairs."""
+    rng = np.random.default_rng(8)
+    y = (np.arange(24_000) % 6 > 0).astype(int)
+    x = (rng.normal(0, 1, (len(y), len(Q.NAMES))) + 0.2 * y[:, None]).astype("f4")
+    ids = [i for i in range(40_000) if zlib.crc32(str(i).encode()) % 5][: len(y)]
+    measured = spark.createDataFrame([(d, r.tolist()) for d, r in zip(ids, x)], "doc_id long, x array<float>").selectExpr("struct(doc_id) as _row", "x")
+    ranker = Q.fit(measured, spark.createDataFrame([(d, int(v)) for d, v in zip(ids, y)], "doc_id long, quality int"))
+    for j, e in enumerate(ranker.edges):
+        want = np.concatenate([np.quantile(x[y == v, j], np.linspace(0, 1, 13)[1:-1], method="inverted_cdf") for v in (0, 1)])
+        assert np.allclose(e, np.sort(want), rtol=1e-4, atol=1e-6)
+    s, bins = ranker.raw(x), ranker._bins(x)
+    pull = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0][None, :]))
+    force = np.zeros(len(y))
+    force[y == 1], force[y == 0] = -pull.mean(axis=1) / (y == 1).sum(), pull.mean(axis=0) / (y == 0).sum()
+    grad = np.bincount(bins.ravel(), np.repeat(force, bins.shape[1]), len(ranker.w)) + 1e-3 * ranker.w
+    assert np.abs(grad).max() < 3e-4
+    assert np.sum(ranker.score(x) < 0.3) == (y == 0).sum()
