@@ -2,7 +2,7 @@
 
 Every document belongs to a cell (source, language, topic) and weighs its tokens
 (a quarter of its UTF-8 bytes, rounded up). Topics are cells of spherical k-means
-over hashed word counts, fitted on a bounded sample and assigned to every text.
+over hashed word counts, fitted on all texts and assigned to each.
 Target marginals flatten the corpus: the share of a value is its share of tokens
 to the power alpha, normalised; no value can get more tokens than it has, and
 what it can't take goes to the others. Or the weights of values are given
@@ -35,12 +35,11 @@ from pyspark.sql import functions as F
 
 from symloom.llm import common
 from symloom.llm.shingles import _words
-from symloom.llm.vectors import spherical_kmeans
 
-#: Documents at most, of different texts, that topics are fitted on.
-SAMPLE = 4000
 TOPICS = 8
 BUCKETS = 256
+#: Unit of vectors in whole numbers, and rows whose vectors are held at once.
+ONE, ROWS = float(1 << 20), 2000
 ALPHA = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 #: Share of all tokens that is drawn, in expectation.
 KEEP = 0.8
@@ -51,45 +50,124 @@ DIMS = ("source", "lang", "topic")
 _BITS = 1 << 52
 
 
-def word_vector(text: bytes | None) -> np.ndarray:
-    """Unit vector of damped counts of hashed lower-case words; zero without words."""
+def word_counts(text: bytes | None) -> np.ndarray:
+    """How many lower-case words fall into each bucket."""
     words = text.lower().split() if text else []
     h = np.fromiter(map(_words.__getitem__, words), "u8", len(words))
-    x = np.log1p(np.bincount((h % np.uint64(BUCKETS)).astype("i8"), minlength=BUCKETS))
-    return x / max(1e-12, np.sqrt(x @ x))
+    return np.bincount((h % np.uint64(BUCKETS)).astype("i8"), minlength=BUCKETS)
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, centroids) of word vectors of a bounded sample."""
-    n = max(1, docs.count())
-    # By content: copies of a text are one.
-    pick = docs.select(F.xxhash64(F.lit(3), "text").alias("_h"), "text")
-    pick = pick.where(F.pmod("_h", F.lit(1 << 30)) < F.lit(int(min(1.0, sample / n) * (1 << 30)))).dropDuplicates(["_h"]).orderBy("_h").limit(sample).select("text")
+def unit_vectors(counts: np.ndarray) -> np.ndarray:
+    """Unit vectors of damped counts, a row each, in whole numbers of 1 / ONE; zero without words."""
+    x = np.log1p(counts, dtype=float)
+    return np.rint(x * (ONE / np.maximum(1e-12, np.sqrt((x * x).sum(axis=1))))[:, None])
+
+
+def _counts(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Word counts of some rows at a time."""
+    for at in range(0, len(texts), ROWS):
+        yield np.stack([word_counts(t.as_py()) for t in texts.slice(at, ROWS).cast(pa.binary())])
+
+
+def counted(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows (_row struct of the columns ``keep``, _counts) for each row of docs, written: texts are read once and not moved."""
+    box, kind = _boxed(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [word_vector(t.as_py()) for t in batch.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32()))], ["x"])
+            rows = [c.astype("u1" if c.max() < 256 else "<u4").tobytes() for part in _counts(batch.column(1)) for c in part]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["_row", "_counts"])
+
+    return common.written(box.mapInArrow(run, f"_row {kind}, _counts binary"), "counts")
+
+
+def _boxed(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
+    box = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("text"))
+    return box, box.select("_row").schema["_row"].dataType.simpleString()
+
+
+def _vectors(column: pa.Array) -> Iterator[np.ndarray]:
+    """Unit vectors of some rows of _counts at a time."""
+    for at in range(0, len(column), ROWS):
+        raw = column.slice(at, ROWS).to_pylist()
+        yield unit_vectors(np.stack([np.frombuffer(r, "u1" if len(r) == BUCKETS else "<u4") for r in raw]))
+
+
+def _own(u: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The nearest centroid of each unit vector; products are of whole numbers below 2^53, so they are the same in any batch."""
+    mean, centroids = model
+    if not len(centroids):
+        return np.zeros(len(u), "i4")
+    c = np.rint(centroids * ONE)
+    return np.argmax(u @ c.T - np.rint(mean * ONE) @ c.T, axis=1).astype("i4")
+
 
-    x = np.array(sorted(r.x for r in pick.mapInArrow(run, "x array<float>").collect()), float).reshape(-1, BUCKETS)
-    if not len(x):
+def _centred(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Unit vectors after the mean is taken off; zero where nothing is left."""
+    v = u / ONE - mean
+    norm = np.sqrt((v * v).sum(axis=1))[:, None]
+    return np.where(norm > 1e-9, v / np.maximum(norm, 1e-9), 0.0)
+
+
+def fit_topics(rows: DataFrame, topics: int = TOPICS, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, centroids) of the word vectors of all rows of counted().
+
+    Every row counts, copies as often as they occur. Lloyd's rounds are sums over
+    all rows in tasks, of which the driver gets one vector a topic; they start at
+    the texts with the smallest hashes and end when no centroid moves.
+    """
+    table = rows.select("_counts")
+
+    def first(batch: pa.RecordBatch) -> np.ndarray:
+        return np.append(sum(u.sum(axis=0) for u in _vectors(batch.column(0))), batch.num_rows)
+
+    total = common.totals(table, first, BUCKETS + 1)
+    if not total[-1]:
         return np.zeros(BUCKETS), np.zeros((0, BUCKETS))
-    mean = x.mean(axis=0)
-    x = x - mean
-    norm = np.linalg.norm(x, axis=1)
-    return mean, spherical_kmeans(x[norm > 1e-9] / norm[norm > 1e-9, None], topics)
+    mean = total[:-1] / total[-1] / ONE
+    h = F.xxhash64(F.lit(3), "_counts")
+    few = [r.h for r in table.select(h.alias("h")).distinct().orderBy("h").limit(topics).collect()]
+    seeds = {r.h: r.c for r in table.select(h.alias("h"), F.col("_counts").alias("c")).where(F.col("h").isin(few)).dropDuplicates(["h"]).collect()}
+    c = _centred(np.concatenate(list(_vectors(pa.array([seeds[k] for k in few], pa.binary())))), mean)
+    c = c[np.abs(c).sum(axis=1) > 0]
+    for _ in range(rounds if len(c) else 0):
+        model = mean, c
+
+        def each(batch: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros(c.shape)
+            for u in _vectors(batch.column(0)):
+                out += np.eye(len(c))[_own(u, model)].T @ np.rint(_centred(u, mean) * ONE)
+            return out.ravel()
+
+        new = common.totals(table, each, c.size).reshape(c.shape) / ONE
+        norm = np.sqrt((new * new).sum(axis=1))[:, None]
+        new = np.where(norm > 1e-12, new / np.maximum(norm, 1e-12), c)
+        if (new == c).all():
+            break
+        c = new
+    return mean, c
+
+
+def assigned(rows: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows (_row, _topic) for each row of counted()."""
+    kind = rows.schema["_row"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [_own(u, model) for u in _vectors(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, "i4"), *got]))], ["_row", "_topic"])
+
+    return rows.mapInArrow(run, f"_row {kind}, _topic int")
 
 
 def with_topic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
     """Rows (_row struct of the columns ``keep``, _topic) for each row of docs; texts are read once and not moved."""
-    mean, centroids = model
-    box = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("text"))
-    kind = box.select("_row").schema["_row"].dataType.simpleString()
+    box, kind = _boxed(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [int(np.argmax(centroids @ (word_vector(t.as_py()) - mean))) if len(centroids) else 0 for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int32())], ["_row", "_topic"])
+            got = [_own(unit_vectors(c), model) for c in _counts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, "i4"), *got]))], ["_row", "_topic"])
 
     return box.mapInArrow(run, f"_row {kind}, _topic int")
 
@@ -233,7 +311,8 @@ def _tokens(text: Column) -> Column:
 def weigh(docs: DataFrame, keep: float = KEEP, alpha: dict[str, float] = ALPHA, seed: int = 42, small: int = SMALL, weights: Weights | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability, drawn for each row of docs."""
     docs = docs.select("doc_id", "source", "lang", "text", _tokens(F.col("text")).alias("tokens"), draw(seed).alias("u"))
-    rows = _at(common.written(with_topic(docs, fit_topics(docs), ["doc_id", "source", "lang", "tokens", "u"]), "topics"))
+    rows = counted(docs, ["doc_id", "source", "lang", "tokens", "u"])
+    rows = _at(common.written(assigned(rows, fit_topics(rows)), "topics"))
     p, few = probabilities(_sums(rows), keep, alpha, small, weights)
     p = p.select(*DIMS, F.col("p").alias("_p"))
     out = rows.join(F.broadcast(p) if few else p, list(DIMS))
@@ -242,9 +321,11 @@ def weigh(docs: DataFrame, keep: float = KEEP, alpha: dict[str, float] = ALPHA,
 
 def sample(docs: DataFrame, keep: float = KEEP, alpha: dict[str, float] = ALPHA, seed: int = 42, small: int = SMALL, weights: Weights | None = None) -> DataFrame:
     """The rows of docs that are drawn, with their columns. Topics are found twice, so that no text is shuffled or written."""
-    cols, model = docs.columns, fit_topics(docs)
-    slim = docs.select("source", "lang", "text", _tokens(F.col("text")).alias("tokens"))
-    p, few = probabilities(_sums(_at(with_topic(slim, model, ["source", "lang", "tokens"]))), keep, alpha, small, weights)
+    cols = docs.columns
+    slim = counted(docs.select("source", "lang", "text", _tokens(F.col("text")).alias("tokens")), ["source", "lang", "tokens"])
+    model = fit_topics(slim)
+    p, few = probabilities(_sums(_at(assigned(slim, model))), keep, alpha, small, weights)
+    common.forget(slim)
     p = p.select(*DIMS, F.col("p").alias("_p"))
     full = _at(with_topic(docs, model, cols))
     full = full.join(F.broadcast(p) if few else p, list(DIMS)).where(draw(seed, "_row") < F.col("_p"))

@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from symloom.llm import mixing as M
@@ -99,3 +100,20 @@ def test_edges(spark):
     out = M.weigh(df)
     assert out.count() == 4 and out.where("probability between 0 and 1").count() == 4
     assert M.sample(df).schema == df.schema and M.weigh(df.limit(0)).count() == 0
+
+
+def test_topics_are_fitted_on_all_rows(spark):
+    """6,000 texts of three vocabularies and a long one: the mean is of all of them, and no centroid is that of a part."""
+    rows = [(k, " ".join(f"{'abc'[k % 3]}{(k * 7 + i * i) % 40}" for i in range(12)), "en", "s") for k in range(6000)] + [(6000, "long " * 1000, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for df in (docs, docs.repartition(3)):  # the same wherever rows stand
+        table = M.counted(df, ["doc_id"])
+        mean, c = M.fit_topics(table, rounds=60)
+        u = M.unit_vectors(np.stack([M.word_counts(t.encode()) for _, t, _, _ in rows])) / M.ONE
+        assert np.allclose(mean, u.mean(axis=0), atol=1e-9)
+        v = (u - mean) / np.linalg.norm(u - mean, axis=1)[:, None]
+        own = np.argmax(v @ c.T, axis=1)
+        for k in set(own.tolist()):
+            total = v[own == k].sum(axis=0)
+            assert np.allclose(c[k], total / np.linalg.norm(total), atol=1e-4)
+        assert [r._topic for r in M.assigned(table, (mean, c)).orderBy("_row.doc_id").collect()] == own.tolist()
