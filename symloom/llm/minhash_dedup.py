@@ -142,6 +142,34 @@ def _confirm(num: int, den: int):
     return run
 
 
+def _near(x: np.ndarray, y: np.ndarray, i: int, nx: int, ny: np.ndarray, other: np.ndarray, num: int, den: int, least: int) -> np.ndarray:
+    """The rows of y that row i of x may link with: of another label, of like size, and alike in ``least`` places."""
+    near = (den * ny >= num * nx) & (num * ny <= den * nx) & other
+    near[near] = (x[i] == y[near]).sum(axis=1) >= least
+    return near
+
+
+def _partners(num: int, den: int, least: int):
+    """The rows of two blocks of a cluster that may link with one of the other, without their sets."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        same = key[1] == key[2]
+        left = pdf[pdf.side == 0]
+        right = left if same else pdf[pdf.side == 1]
+        keep_l, keep_r = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        if len(left) and len(right):
+            x, y = (np.frombuffer(b"".join(p.sig), "<u4").reshape(len(p), -1) for p in (left, right))
+            nx, ny, lx, ly = left.n.to_numpy(), right.n.to_numpy(), left.label.to_numpy(), right.label.to_numpy()
+            for i in range(len(left)):
+                near = _near(x, y, i, int(nx[i]), ny, lx[i] != ly, num, den, least)
+                keep_l[i] = near.any()
+                keep_r |= near
+        out = left[keep_l | keep_r] if same else pd.concat([left[keep_l], right[keep_r]])
+        return out[["cluster", "i", "j", "side", "cls", "label", "sig"]]
+
+    return run
+
+
 def _search(num: int, den: int, least: int):
     """A spanning forest of the links between two blocks of a cluster, for classes of different labels."""
 
@@ -164,9 +192,7 @@ def _search(num: int, den: int, least: int):
             lx, ly, cx, cy = left.label.to_numpy(), right.label.to_numpy(), left.cls.to_numpy(), right.cls.to_numpy()
             ny = np.array([len(s) for s in sy])
             for i in range(len(left)):
-                near = (den * ny >= num * len(sx[i])) & (num * ny <= den * len(sx[i])) & (lx[i] != ly)
-                near[near] = (x[i] == y[near]).sum(axis=1) >= least
-                for j in np.flatnonzero(near):
+                for j in np.flatnonzero(_near(x, y, i, len(sx[i]), ny, lx[i] != ly, num, den, least)):
                     if same and j <= i or find(lx[i]) == find(ly[j]):
                         continue
                     if linked(sx[i], sy[j], num, den):
@@ -248,7 +274,10 @@ def _rest(shared, classes, sets, links, num, den, least, block) -> DataFrame:
     sizes = common.written(group.groupBy("cluster").agg(blocks), "sizes")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("blk")).alias("i"), F.greatest(j, F.col("blk")).alias("j"), (j < F.col("blk")).cast("int").alias("side")))
     dealt = group.join(sizes, "cluster").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(sets, "cls").withColumn("p", F.explode(pairs)).select("cluster", "p.*", "cls", "label", "sig", "shingles")
+    dealt = dealt.withColumn("p", F.explode(pairs)).select("cluster", "p.*", "cls", "label", "sig", "n")
+    # Signatures first: sets go only where they have a class to be compared with.
+    some = dealt.groupBy("cluster", "i", "j").applyInPandas(_partners(num, den, least), "cluster long, i int, j int, side int, cls long, label long, sig binary")
+    dealt = common.written(some, "partners").join(sets, "cls").select("cluster", "i", "j", "side", "cls", "label", "sig", "shingles")
     return dealt.groupBy("cluster", "i", "j").applyInPandas(_search(num, den, least), "a long, b long")
 
 

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
+
 from symloom.llm import minhash_dedup as M
 
 A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -116,3 +119,15 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert got(M.op5_minhash_dedup(spark, sf)) == brute(rows)
+
+
+def test_sets_go_where_partners_are():
+    """Of two blocks, only classes that may link with one of another label are dealt with their sets."""
+    def sig(*v):
+        return np.array(v, "<u4").tobytes()
+
+    rows = [(0, 1, 1, sig(1, 2, 3, 4), 50), (0, 2, 2, sig(9, 9, 9, 9), 50), (0, 3, 7, sig(5, 6, 7, 8), 50), (1, 4, 4, sig(1, 2, 3, 0), 50), (1, 5, 7, sig(5, 6, 7, 8), 50), (1, 6, 6, sig(1, 2, 3, 4), 90)]
+    pdf = pd.DataFrame([(0, 0, 1, *r) for r in rows], columns=["cluster", "i", "j", "side", "cls", "label", "sig", "n"])
+    assert M._partners(85, 100, 3)((0, 0, 1), pdf).cls.tolist() == [1, 4]
+    one = pdf.assign(i=0, j=0, side=0)
+    assert M._partners(85, 100, 3)((0, 0, 0), one).cls.tolist() == [1, 4]

@@ -55,3 +55,13 @@ def test_learns_from_all_rows_and_pairs(spark):
     grad = np.bincount(bins.ravel(), np.repeat(force, bins.shape[1]), len(ranker.w)) + 1e-3 * ranker.w
     assert np.abs(grad).max() < 3e-4
     assert np.sum(ranker.score(x) < 0.3) == (y == 0).sum()
+
+
+def test_no_text_meets_the_labels(spark, monkeypatch):
+    """Texts are measured where they stand: what is joined or shuffled holds ids and features only."""
+    plans, write = {}, Q.common.written
+    monkeypatch.setattr(Q.common, "written", lambda df, name="t": plans.__setitem__(name, df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    docs = spark.createDataFrame([(i, "fine words here and there" if i % 2 else "BAD!! BAD!! BAD!!") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert {r.doc_id for r in Q.keep_good(docs, labels).collect()} == set(range(1, 40, 2))
+    assert "Join" not in plans["features"] and "Join" in plans["taught"]
