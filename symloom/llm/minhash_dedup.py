@@ -289,7 +289,8 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """
     groups = near_duplicates(docs, **how).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     kept = common.written(groups, "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # As in near_duplicates: a shuffle at every size, since the ids that stay grow with the corpus.
+    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if kept.where("_rows > 1").limit(1).count():
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
         out = out.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")).select("_row.*")
