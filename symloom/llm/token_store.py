@@ -212,11 +212,10 @@ def _segments(path: str, end_id: int | None, budget: int):
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64()] * 5 + [pa.binary()])], ["part", "seg", "seg_start", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = code.ids(text.as_py() or "") + tail
+            for doc, ids in zip(batch.column(0).to_pylist(), code.many(batch.column(1))):
                 docs.append(doc)
-                lengths.append(len(ids) // 4)
-                raw.append(ids)
+                lengths.append((len(ids) + len(tail)) // 4)
+                raw += (ids, tail)
                 held += lengths[-1]
                 if held >= budget:
                     yield flush()

@@ -2,6 +2,7 @@ import functools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +40,52 @@ def test_encoder_on_any_text(text):
     assert list(np.frombuffer(bpe.encoder(bpe.default_path()).ids(text), "<u4")) == whole().encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 20])
+def test_column_equals_library(monkeypatch, chunk):
+    """Odd texts between plain ones, nulls and a slice, in chunks of one text and more."""
+    monkeypatch.setattr(bpe, "CHUNK", chunk)
+    texts = [None, *ODD, *(f"the plain, words. {o}" for o in ODD), "", None, "été, ** the!! (end) straße. x,, y", "end ", "end\n", " ", " lead", "語。 語 a"]
+    code = bpe.Encoder(bpe.default_path(), pieces=8)
+    for kind in (pa.string(), pa.large_string()):
+        got = [list(np.frombuffer(b, "<u4")) for b in code.many(pa.array(["cut off", *texts], kind).slice(1))]
+        assert got == [whole().encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert list(code.many(pa.array([], pa.string()))) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("ab'stZé \n\t\r.,1ªµ語\x1c\u00a0\u2003-<|>"), max_size=30), max_size=6))
+def test_column_of_any_texts(texts):
+    got = [list(np.frombuffer(b, "<u4")) for b in bpe.encoder(bpe.default_path()).many(pa.array(texts, pa.string()))]
+    assert got == [whole().encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_store_looks_up_a_word_once_a_chunk(monkeypatch):
+    """2000 texts of the same words: the encoder of a store asks its memory for each word once, not 2000 times."""
+    from pyspark import TaskContext
+
+    asked = []
+
+    class Counted(bpe.Memory):
+        def get(self, piece, *rest):
+            asked.append(piece)
+            return super().get(piece, *rest)
+
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    code = bpe.Encoder(bpe.default_path())
+    code.words = Counted(code._word, 1000)
+    monkeypatch.setattr(bpe, "encoder", lambda path: code)
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})()))
+    text = "first the same words, each time. the same 12 words"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array([text] * 2000)], ["doc_id", "text"])
+    (out,) = list(token_store._segments("", 2, 1 << 18)(iter([batch])))
+    seg = token_store.Segment(out.column("payload")[0].as_py())
+    assert list(seg.document(1999)) == whole().encode(text, add_special_tokens=False).ids + [2]
+    assert len(asked) < 50
+
+
 @pytest.mark.parametrize("ids", [[], [0], [7] * 2000, list(range(0, 50257, 7)), [2**32 - 1, 0, 5], [1] * 511 + [70000] * 3])
 def test_segment_round_trip(ids):
     a = np.array(ids, "u4")
