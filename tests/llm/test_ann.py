@@ -64,6 +64,32 @@ def test_recall_on_many_vectors(spark):
     assert hit >= 0.95 * 1000
 
 
+def test_what_the_codes_cannot_tell(spark):
+    """Close groups larger than what is ranked again, a far origin, norms apart by orders, ties, and an id of many vectors: all as by brute force."""
+    rng = np.random.default_rng(6)
+    n = 4000
+    grid = rng.integers(0, 3, size=(n, 5)).astype(float)
+    sets = [
+        rng.normal(size=(4, 12))[rng.integers(4, size=n)] + 0.001 * rng.normal(size=(n, 12)),
+        100 + rng.normal(size=(n, 12)),
+        rng.normal(size=(n, 12)) * np.exp(2 * rng.normal(size=(n, 1))),
+        np.where(grid.any(axis=1)[:, None], grid, 1.0),
+    ]
+    for x, kind in zip(sets, ("f4", "f8", "f4", "f8")):
+        x = x.astype(kind)
+        ids = np.where(np.arange(n) % 400 == 7, 250, np.arange(n))
+        df = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.array(list(x))})).repartition(4)
+        have = got(ann.search(df, df.where("vec_id % 250 = 0"), sample=500))
+        want = {}
+        for i in np.flatnonzero(ids % 250 == 0):
+            total = np.zeros(n)
+            for c in x.T.astype(float):
+                total += (c[i] - c) ** 2
+            rows = {(d, j, tuple(v)) for d, j, v in zip(np.sqrt(total).tolist(), ids.tolist(), x.tolist()) if j != ids[i]}
+            want.setdefault(int(ids[i]), []).extend((d, j) for d, j, _ in sorted(rows)[:10])
+        assert {i: sorted(near) for i, near in have.items()} == {i: sorted(near) for i, near in want.items()}
+
+
 def test_anisotropic_codes_lose_less_along_the_vector():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 16))
