@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import cache
 
 
 @dataclass
@@ -33,9 +35,13 @@ class Parsed:
     references: list[tuple[str, int, int]] = field(default_factory=list)
 
 
+#: A compiled pattern; re.compile() looks its own cache up by flags, which takes longer than most matches.
+compiled = cache(re.compile)
+
+
 def real(s: str) -> str:
     """Latin-1 text of bytes as the text it is."""
-    return s.encode("latin-1").decode("utf-8", "replace")
+    return s if s.isascii() else s.encode("latin-1").decode("utf-8", "replace")
 
 
 def head(s: str) -> str:

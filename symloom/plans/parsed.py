@@ -16,6 +16,10 @@ from symloom.plans.queries import query
 from symloom.sources import tree
 
 
+#: Sources of a task: at least, where there are tasks for all cores, and at most.
+FEW, MANY = 200, 20_000
+
+
 @dataclass
 class Sample:
     """symbols: (name, kind, visibility, signature, docstring, text, parent); imports: (text, module, names); calls: (name, text that begins with what is called)."""
@@ -162,21 +166,23 @@ def _calls_sql() -> str:
 
 def sources(spark: SparkSession, d: str, *languages: str) -> DataFrame:
     """path, language, content: the samples of the languages for every part."""
-    key = F.col("p_partkey").cast("string")
+    keys = A.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"))
+    # Rows of keys are few bytes, so Spark's splits of the file would leave nearly all parsing to one task.
+    n = keys.count() * len(languages)
+    rows = keys.repartition(max(1, min(-(-n // FEW), max(-(-n // MANY), spark.sparkContext.defaultParallelism))), "k")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("language"), F.lit(SAMPLES[k].source).alias("s")) for k in languages]))
-    rows = A.table(spark, d, "part").select(key.alias("k"), each.alias("x"))
+    rows = rows.select("k", each.alias("x"))
     return rows.select(F.concat("x.language", F.lit("/"), "k").alias("path"), "x.language", F.encode(F.replace("x.s", F.lit("$"), "k"), "UTF-8").alias("content"))
 
 
-def _parsed(spark: SparkSession, d: str, *languages: str) -> dict[str, DataFrame]:
-    return tree.explode(tree.parse(sources(spark, d, *languages)))
+def _parsed(spark: SparkSession, d: str, table: str, *languages: str) -> dict[str, DataFrame]:
+    return tree.explode(tree.parse(sources(spark, d, *languages), table))
 
 
 def _register(language: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        s = _parsed(spark, d, language)["symbols"]
-        up = s.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
-        return s.join(up, "parent_id", "left").select("file_path", "seq", "name", "qualified_name", "kind", "visibility", "signature", "docstring", "byte_start", "byte_end", "parent")
+        s = _parsed(spark, d, "symbols", language)["symbols"]
+        return s.select("file_path", "seq", "name", "qualified_name", "kind", "visibility", "signature", "docstring", "byte_start", "byte_end", F.col("parent_name").alias("parent"))
 
     run.__name__ = f"parse_{language}"
     query(_symbols_sql(language))(run)
@@ -188,14 +194,14 @@ for _language in SAMPLES:
 
 @query(_imports_sql())
 def parse_imports(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed(spark, d, *SAMPLES)["imports"].select("file_path", "ord", "raw_text", "source_module", F.array_join("imported_names", ",").alias("imported_names"))
+    return _parsed(spark, d, "imports", *SAMPLES)["imports"].select("file_path", "ord", "raw_text", "source_module", F.array_join("imported_names", ",").alias("imported_names"))
 
 
 @query(_calls_sql())
 def parse_calls(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed(spark, d, *SAMPLES)["references"].select("file_path", "symbol_name", "byte_start", "byte_end")
+    return _parsed(spark, d, "refs", *SAMPLES)["references"].select("file_path", "symbol_name", "byte_start", "byte_end")
 
 
 @query("select language, count(*) as n_files from part, (values " + ", ".join(f"('{k}')" for k in SAMPLES) + ") as t(language) group by language")
 def parse_files(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed(spark, d, *SAMPLES)["files"].groupBy("language").agg(F.count(F.lit(1)).alias("n_files"))
+    return _parsed(spark, d, "files", *SAMPLES)["files"].groupBy("language").agg(F.count(F.lit(1)).alias("n_files"))

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -91,8 +93,13 @@ def read(spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
     return (reader.option("only", only) if only else reader).load(root)
 
 
-_SYMBOL = "struct<seq:int,name:string,kind:string,visibility:string,signature:string,docstring:string,byte_start:bigint,byte_end:bigint,parent:int>"
-_PARSED = f"path string, language string, hash string, error string, symbols array<{_SYMBOL}>, imports array<struct<ord:int,raw_text:string,source_module:string,imported_names:array<string>>>, refs array<struct<ord:int,symbol_name:string,byte_start:bigint,byte_end:bigint>>"
+#: The nested tables of a parsed file: name to (field, type) each; owner is the parent's name.
+_NESTED = {
+    "symbols": {"seq": "int", "name": "string", "kind": "string", "visibility": "string", "signature": "string", "docstring": "string", "byte_start": "bigint", "byte_end": "bigint", "parent": "int", "owner": "string"},
+    "imports": {"ord": "int", "raw_text": "string", "source_module": "string", "imported_names": "array<string>"},
+    "refs": {"ord": "int", "symbol_name": "string", "byte_start": "bigint", "byte_end": "bigint"},
+}
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 
 
 def parse_source(source: bytes, language: str):
@@ -102,26 +109,48 @@ def parse_source(source: bytes, language: str):
     return ruby.parse(source) if language == "ruby" else braces.parse(source, language)
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import xxhash
+def _rows(source: bytes, language: str) -> dict[str, list[tuple]]:
+    """The nested tables of a source, as tuples in the order of their fields."""
+    got = parse_source(source, language)
+    up = [None if s.parent is None else got.symbols[s.parent].name for s in got.symbols]
+    return {
+        "symbols": [(i, s.name, s.kind, s.visibility, s.signature, s.docstring, s.start, s.end, s.parent, up[i]) for i, s in enumerate(got.symbols)],
+        "imports": [(i, m.raw_text, m.module, m.names) for i, m in enumerate(got.imports)],
+        "refs": [(i, *r) for i, r in enumerate(got.references)],
+    }
+
+
+def _nested(name: str, lists: list[list[tuple]]) -> pa.Array:
+    fields = _NESTED[name]
+    columns = list(zip(*chain.from_iterable(lists))) or [()] * len(fields)
+    structs = pa.StructArray.from_arrays([pa.array(c, _ARROW[kind]) for c, kind in zip(columns, fields.values())], list(fields))
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, lists))], pa.int32()), structs)
 
-    for pdf in batches:
-        rows = []
-        for path, language, content in zip(pdf.path, pdf.language, pdf.content):
-            row = {"path": path, "language": language, "hash": None, "error": None, "symbols": [], "imports": [], "refs": []}
-            try:
-                source = bytes(content)
-                source.decode("utf-8")
-                got = parse_source(source, language)
-                row["hash"] = str(xxhash.xxh3_64_intdigest(source))
-                row["symbols"] = [{"seq": i, "name": s.name, "kind": s.kind, "visibility": s.visibility, "signature": s.signature, "docstring": s.docstring, "byte_start": s.start, "byte_end": s.end, "parent": s.parent} for i, s in enumerate(got.symbols)]
-                row["imports"] = [{"ord": i, "raw_text": m.raw_text, "source_module": m.module, "imported_names": m.names} for i, m in enumerate(got.imports)]
-                row["refs"] = [{"ord": i, "symbol_name": n, "byte_start": a, "byte_end": b} for i, (n, a, b) in enumerate(got.references)]
-            except Exception as e:  # a file that can't be read or parsed is a row with its error
-                row["error"] = f"{type(e).__name__}: {e}"[:500]
-            rows.append(row)
-        if rows:
-            yield pd.DataFrame(rows)
+
+def _parse(tables: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            hashes, errors, found = [], [], []
+            for language, content in zip(batch.column("language").to_pylist(), batch.column("content")):
+                digest = error = None
+                rows: dict[str, list[tuple]] = {}
+                try:
+                    source = bytes(content.as_py())
+                    source.decode("utf-8")
+                    rows = _rows(source, language)
+                    digest = str(xxhash.xxh3_64_intdigest(source))
+                except Exception as e:  # a file that can't be read or parsed is a row with its error
+                    error = f"{type(e).__name__}: {e}"[:500]
+                hashes.append(digest)
+                errors.append(error)
+                found.append(rows)
+            if batch.num_rows:
+                nested = [_nested(t, [rows.get(t, []) for rows in found]) for t in tables]
+                yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("language"), pa.array(hashes, pa.string()), pa.array(errors, pa.string()), *nested], ["path", "language", "hash", "error", *tables])
+
+    return run
 
 
 def content_hash(content: pd.Series) -> pd.Series:
@@ -130,28 +159,31 @@ def content_hash(content: pd.Series) -> pd.Series:
     return content.map(lambda c: None if c is None else str(xxhash.xxh3_64_intdigest(bytes(c))))
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """files (path, language, content) parsed: one row each, with an error for those that aren't UTF-8."""
-    return files.select("path", "language", "content").mapInPandas(_parse, _PARSED)
+def parse(files: DataFrame, *tables: str) -> DataFrame:
+    """files (path, language, content) parsed: one row each, with an error for those that aren't UTF-8. tables: those of _NESTED that are read later; all if empty."""
+    tables = tables or tuple(_NESTED)
+    form = "".join(f", {t} array<struct<{','.join(f'{k}:{v}' for k, v in _NESTED[t].items())}>>" for t in tables if t in _NESTED)
+    return files.select("path", "language", "content").mapInArrow(_parse(tuple(t for t in tables if t in _NESTED)), f"path string, language string, hash string, error string{form}")
 
 
 def explode(parsed: DataFrame) -> dict[str, DataFrame]:
-    """The tables of parsed files. Ids are hashes of path and place, so they don't depend on other files."""
+    """The tables of parsed files, those that were parsed for. Ids are hashes of path and place, so they don't depend on other files."""
     good = parsed.where("error is null")
     file_id = F.xxhash64("path")
-    files = good.select(file_id.alias("file_id"), "path", "language", "hash", F.current_timestamp().alias("last_indexed"))
-    s = good.select("path", F.explode("symbols").alias("s"), F.col("symbols").alias("all"))
-    top = F.concat_ws("::", "path", "s.name")
-    parent = F.get("all", F.col("s.parent"))["name"]
+    out = {"files": good.select(file_id.alias("file_id"), "path", "language", "hash", F.current_timestamp().alias("last_indexed"))}
     ident = lambda seq: F.xxhash64("path", seq)
-    symbols = s.select(
-        ident(F.col("s.seq")).alias("id"), file_id.alias("file_id"), F.col("path").alias("file_path"), "s.seq", "s.name",
-        F.when(F.col("s.parent").isNull(), top).otherwise(F.concat_ws("::", "path", parent, "s.name")).alias("qualified_name"),
-        "s.kind", "s.visibility", "s.signature", "s.docstring", "s.byte_start", "s.byte_end",
-        F.when(F.col("s.parent").isNotNull(), ident(F.col("s.parent"))).alias("parent_id"),
-    )
-    i = good.select("path", F.explode("imports").alias("i"))
-    imports = i.select(file_id.alias("file_id"), F.col("path").alias("file_path"), "i.ord", "i.raw_text", "i.source_module", "i.imported_names")
-    r = good.select("path", F.explode("refs").alias("r"))
-    refs = r.select(file_id.alias("file_id"), F.col("path").alias("file_path"), "r.ord", "r.symbol_name", "r.byte_start", "r.byte_end", F.lit("call").alias("context"))
-    return {"files": files, "symbols": symbols, "imports": imports, "references": refs}
+    if "symbols" in parsed.columns:
+        s = good.select("path", F.explode("symbols").alias("s"))
+        out["symbols"] = s.select(
+            ident(F.col("s.seq")).alias("id"), file_id.alias("file_id"), F.col("path").alias("file_path"), "s.seq", "s.name",
+            F.when(F.col("s.parent").isNull(), F.concat_ws("::", "path", "s.name")).otherwise(F.concat_ws("::", "path", "s.owner", "s.name")).alias("qualified_name"),
+            "s.kind", "s.visibility", "s.signature", "s.docstring", "s.byte_start", "s.byte_end",
+            F.when(F.col("s.parent").isNotNull(), ident(F.col("s.parent"))).alias("parent_id"), F.col("s.owner").alias("parent_name"),
+        )
+    if "imports" in parsed.columns:
+        i = good.select("path", F.explode("imports").alias("i"))
+        out["imports"] = i.select(file_id.alias("file_id"), F.col("path").alias("file_path"), "i.ord", "i.raw_text", "i.source_module", "i.imported_names")
+    if "refs" in parsed.columns:
+        r = good.select("path", F.explode("refs").alias("r"))
+        out["references"] = r.select(file_id.alias("file_id"), F.col("path").alias("file_path"), "r.ord", "r.symbol_name", "r.byte_start", "r.byte_end", F.lit("call").alias("context"))
+    return out
