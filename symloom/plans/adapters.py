@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents laid end to end in files of their source and language; each fifth holds the next four."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    docs = table(spark, sf_dir, "documents").withColumn("_n", F.octet_length("text"))  # before the join, which then needs no text for it
+    docs = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     rows = docs.select(
         F.col("doc_id").alias("id"),
         F.concat_ws("/", "source", "lang").alias("file_path"),
@@ -27,7 +28,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("kind"),
         F.when(F.col("quality") == 1, "public").when(F.col("quality") == 0, "private").otherwise("internal").alias("visibility"),
         F.col("text").alias("signature"),
-        F.octet_length("text").alias("_n"),
+        "_n",
     )
     order = Window.partitionBy("file_path").orderBy("id")
     rows = rows.withColumns({"seq": F.row_number().over(order), "_e": F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))})

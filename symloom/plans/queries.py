@@ -208,26 +208,32 @@ _RESOLVED = f"""{_HELD},
         alls as (select * from near union all select * from far)"""
 
 
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols without their texts, written once as they are read several times."""
+    return tables.written(A.symbols(spark, d).select("id", "file_path", "name", "byte_start", "byte_end", "seq", "parent_id"))
+
+
 @query(f"{_HELD} select ref_id, symbol_name, src from held")
 def contain_innermost(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.containers(A.references(spark, d), A.symbols(spark, d)).select("ref_id", "symbol_name", "src")
+    s = _placed(spark, d)
+    return resolve.containers(A.references(spark, d, s), s).select("ref_id", "symbol_name", "src")
 
 
 @query(f"{_RESOLVED} select ref_id, src, dst from near")
 def resolve_local(spark: SparkSession, d: str) -> DataFrame:
-    s = A.symbols(spark, d)
-    return resolve.local_targets(resolve.containers(A.references(spark, d, s), s), s)
+    s = _placed(spark, d)
+    return resolve.local_targets(A.references(spark, d, s), s)
 
 
 @query(f"{_RESOLVED} select ref_id, src, dst, via from alls")
 def resolve_targets(spark: SparkSession, d: str) -> DataFrame:
-    s = A.symbols(spark, d)
+    s = _placed(spark, d)
     return resolve.targets(A.references(spark, d, s), s, A.imports(spark, d))
 
 
 @query(f"{_RESOLVED} select distinct src, dst, 'call' as context from alls")
 def edges_resolved(spark: SparkSession, d: str) -> DataFrame:
-    s = A.symbols(spark, d)
+    s = _placed(spark, d)
     return resolve.edges(A.references(spark, d, s), s, A.imports(spark, d))
 
 
