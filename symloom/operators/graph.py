@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from symloom.operators.tables import written
 
+#: Targets of a list, in expectation at most; a source with more has several.
+_LIST = 1 << 16
+
 
 def build(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct edges whose ends are both symbols."""
@@ -33,21 +36,28 @@ def neighbours(edges: DataFrame, starts: DataFrame, direction: str = "both") ->
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 4) -> DataFrame:
     """id, score: a fixed number of rounds, mass of sinks lost, no normalisation.
 
-    Out-degrees are joined once; a round is one join, one sum with map-side
-    combine and one join to the nodes. Every few rounds the scores are written.
+    Nodes, and edges as lists of a source's targets, are dealt by id once and stay
+    so; a round is one join within those parts and one sum with map-side combine.
+    Every few rounds the scores are written.
     """
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("score"))
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_out"))
-    weighted = written(edges.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("_out")).alias("w")))
-    ids = written(nodes.select("id"))
+    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    own = edges.select("src", "dst").repartition(parts, "src")
+    degree = own.groupBy("src").agg(F.count(F.lit(1)).alias("_out"))
+    some = F.pmod(F.xxhash64("dst"), F.ceil(F.col("_out") / _LIST))
+    lists = own.join(degree.hint("shuffle_hash"), "src").groupBy("src", "_out", some.alias("_some")).agg(F.collect_list("dst").alias("_to")).drop("_some").persist()
+    ids = nodes.select("id").repartition(parts, "id").persist()
     score = ids.withColumn("score", F.lit(1.0 / n))
     for k in range(1, rounds + 1):
-        into = weighted.join(score, weighted.src == score.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("w")).alias("_in"))
-        score = ids.join(into, "id", "left").select("id", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("_in", F.lit(0.0))).alias("score"))
+        given = lists.join(score.withColumnRenamed("id", "src").hint("shuffle_hash"), "src")
+        into = given.select(F.explode("_to").alias("id"), (F.col("score") / F.col("_out")).alias("_in")).groupBy("id").agg(F.sum("_in").alias("_in"))
+        score = ids.join(into.hint("shuffle_hash"), "id", "left").select("id", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("_in", F.lit(0.0))).alias("score"))
         if k % every == 0 or k == rounds:
             score = written(score)
+    lists.unpersist()
+    ids.unpersist()
     return score
 
 

@@ -81,9 +81,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cyclic graph of suppliers (ids as they are) and parts (ids above 1,000,000); the quantity of a row turns its edge one way or the other."""
     li = table(spark, sf_dir, "lineitem")
     part = F.col("l_partkey") + 1_000_000
-    down = li.where("l_quantity < 25").select(F.col("l_suppkey").alias("src"), part.alias("dst"))
-    up = li.where("l_quantity >= 25 or l_quantity is null").select(part.alias("src"), ((F.col("l_suppkey") + 1) % 50).alias("dst"))
-    return down.unionByName(up).distinct()
+    down = F.col("l_quantity") < 25
+    return li.select(F.when(down, F.col("l_suppkey")).otherwise(part).alias("src"), F.when(down, part).otherwise((F.col("l_suppkey") + 1) % 50).alias("dst")).distinct()
 
 
 def nodes(edge: DataFrame) -> DataFrame:

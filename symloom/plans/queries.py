@@ -268,7 +268,7 @@ def _rank_sql(rounds: int = 20) -> str:
 
 def _ranks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = tables.written(A.edges(spark, d))
-    n = A.nodes(e)
+    n = tables.written(A.nodes(e))
     return n, graph.pagerank(n, e)
 
 

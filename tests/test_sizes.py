@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from symloom.operators import resolve
+from symloom.operators import graph, resolve
 from symloom.parsing import braces
 from symloom.plans import parsed
 from symloom.plans.queries import QUERIES, SQL
@@ -75,3 +75,25 @@ def test_no_join_of_references_with_all_symbols_of_a_file(spark):
         joins = [x for x in plan.splitlines() if "Join" in x]
         assert not any("<" in x for x in joins) and all("symbol_name" in x or "file_path" in x for x in joins), joins
         assert not any("byte_start" in x for x in joins)
+
+
+def test_rounds_of_pagerank_sort_no_edges(spark, monkeypatch):
+    """Edges stay dealt by source: no round sorts or joins them row by row; the scores are those of a loop, with hubs in several lists and ends that are no nodes."""
+    rng = np.random.default_rng(8)
+    pairs = {(int(a), int(b)) for a, b in zip(rng.integers(0, 40, 600), rng.integers(0, 45, 600))} | {(3, b) for b in range(40)} | {(50, 1)}
+    plans, write = [], graph.written
+    monkeypatch.setattr(graph, "_LIST", 7, raising=False)
+    monkeypatch.setattr(graph, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes, edges = spark.createDataFrame([(i,) for i in range(42)], "id long"), spark.createDataFrame(sorted(pairs), "src long, dst long")
+        got = {r.id: r.score for r in graph.pagerank(nodes, edges, rounds=6).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    score = {i: 1 / 42 for i in range(42)}
+    out = {a: sum(x == a for x, _ in pairs) for a, _ in pairs}
+    for _ in range(6):
+        score = {i: 0.15 / 42 + 0.85 * sum(score[a] / out[a] for a, b in pairs if b == i and a in score) for i in score}
+    assert got.keys() == score.keys() and all(abs(got[i] - score[i]) < 1e-12 for i in score)
+    assert not any("SortMergeJoin" in p for p in plans)
