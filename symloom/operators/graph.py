@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.operators.tables import written
@@ -33,6 +36,18 @@ def neighbours(edges: DataFrame, starts: DataFrame, direction: str = "both") ->
     return (out.unionByName(into) if found is None else found).distinct()
 
 
+@contextmanager
+def _cleared(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile the shuffle files of a written table go when it is there, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 4) -> DataFrame:
     """id, score: a fixed number of rounds, mass of sinks lost, no normalisation.
 
@@ -50,12 +65,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     lists = own.join(degree.hint("shuffle_hash"), "src").groupBy("src", "_out", some.alias("_some")).agg(F.collect_list("dst").alias("_to")).drop("_some").persist()
     ids = nodes.select("id").repartition(parts, "id").persist()
     score = ids.withColumn("score", F.lit(1.0 / n))
-    for k in range(1, rounds + 1):
-        given = lists.join(score.withColumnRenamed("id", "src").hint("shuffle_hash"), "src")
-        into = given.select(F.explode("_to").alias("id"), (F.col("score") / F.col("_out")).alias("_in")).groupBy("id").agg(F.sum("_in").alias("_in"))
-        score = ids.join(into.hint("shuffle_hash"), "id", "left").select("id", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("_in", F.lit(0.0))).alias("score"))
-        if k % every == 0 or k == rounds:
-            score = written(score)
+    with _cleared(nodes.sparkSession):
+        for k in range(1, rounds + 1):
+            given = lists.join(score.withColumnRenamed("id", "src").hint("shuffle_hash"), "src")
+            into = given.select(F.explode("_to").alias("id"), (F.col("score") / F.col("_out")).alias("_in")).groupBy("id").agg(F.sum("_in").alias("_in"))
+            score = ids.join(into.hint("shuffle_hash"), "id", "left").select("id", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("_in", F.lit(0.0))).alias("score"))
+            if k % every == 0 or k == rounds:
+                score = written(score)
     lists.unpersist()
     ids.unpersist()
     return score
